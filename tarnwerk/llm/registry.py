@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from tarnwerk.llm.bpe import op5_bpe
 from tarnwerk.llm.simhash import op10_simhash
 
-QUERIES = {"op10_simhash": op10_simhash}
+QUERIES = {"op5_bpe": op5_bpe, "op10_simhash": op10_simhash}
 ORACLES: dict[str, str] = {}
