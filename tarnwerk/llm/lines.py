@@ -13,8 +13,6 @@ of lines that shares a bucket ends up in one component or was compared, or both
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +24,8 @@ SHINGLE, LONG_WORD = 12, 16
 BANDS, BAND_ROWS = 6, 3
 #: Pivot rounds go on while the pairs left are more than so many a row of the buckets left.
 PAIRS_A_ROW = 4
-MASKS = [random.Random(k).getrandbits(63) for k in range(BANDS * BAND_ROWS)]
+#: A band has a hash of its own; its signature values are minima under rotations of it, which order by different bits.
+ROTATIONS = [64 * r // BAND_ROWS for r in range(BAND_ROWS)]
 
 
 def word_list(line: Column) -> Column:
@@ -72,7 +71,9 @@ def line_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     words = line_rows(docs, text, id_col).select("k", word_list(F.col("line")).alias("a"))
     words = words.select("k", "a", F.explode(F.sequence(F.lit(0), F.size("a") - 1)).alias("i"))
     words = words.select("k", F.when(F.col("i") == 0, 1).otherwise(0).alias("one"), shingle(F.col("a"), F.col("i")).alias("h"))
-    mins = words.groupBy("k").agg(F.sum("one").alias("n"), *[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{j}") for j, m in enumerate(MASKS)])
+    words = words.select("k", "one", *[F.xxhash64("h", F.lit(b)).alias(f"h{b}") for b in range(BANDS)])
+    turned = lambda h, r: F.shiftleft(h, r).bitwiseOR(F.shiftrightunsigned(h, 64 - r)) if r else F.col(h)
+    mins = words.groupBy("k").agg(F.sum("one").alias("n"), *[F.min(turned(f"h{b}", r)).alias(f"m{BAND_ROWS * b + j}") for b in range(BANDS) for j, r in enumerate(ROTATIONS)])
     keys = [F.xxhash64(F.lit(b), *[f"m{BAND_ROWS * b + r}" for r in range(BAND_ROWS)]) for b in range(BANDS)]
     signed = cut(mins.select("k", (F.col("n") > 1).alias("again"), F.array(*keys).alias("bands")))
     del words, mins

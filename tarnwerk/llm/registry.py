@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 from tarnwerk.llm.bpe import op5_bpe
+from tarnwerk.llm.lines import op9_line_dedup
 from tarnwerk.llm.shards import op2_shards
 from tarnwerk.llm.simhash import op10_simhash
 from tarnwerk.llm.topk import OP3_SQL, op3_topk
 from tarnwerk.llm.vectors import OP1_SQL, op1_embedding_dedup
 
-QUERIES = {"op1_embedding_dedup": op1_embedding_dedup, "op2_shards": op2_shards, "op3_topk": op3_topk, "op5_bpe": op5_bpe, "op10_simhash": op10_simhash}
+QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
+    "op2_shards": op2_shards,
+    "op3_topk": op3_topk,
+    "op5_bpe": op5_bpe,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_simhash": op10_simhash,
+}
 ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op3_topk": OP3_SQL}
