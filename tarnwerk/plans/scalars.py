@@ -256,7 +256,7 @@ def _(t):
 B = "(o_totalprice * (o_orderkey % 9) * (o_orderkey % 9) * 200)::BIGINT"
 
 
-@query("human_bytes", f"SELECT o_orderkey, {B} AS b, CASE WHEN {B} = 0 THEN '—' WHEN {B} < 1024 THEN {B} || ' B' WHEN {B} < 1048576 THEN printf('%.1f KB', {B} / 1024.0) WHEN {B} < 1073741824 THEN printf('%.1f MB', {B} / 1048576.0) ELSE printf('%.2f GB', {B} / 1073741824.0) END AS text FROM (SELECT o_orderkey, floor(o_totalprice) AS o_totalprice FROM orders)")
+@query("human_bytes", f"SELECT o_orderkey, {B} AS b, CASE WHEN {B} = 0 THEN '—' WHEN {B} < 1024 THEN {B} || ' B' WHEN {B} < 1048576 THEN printf('%.1f KB', {B} / 1024.0 + 1e-9) WHEN {B} < 1073741824 THEN printf('%.1f MB', {B} / 1048576.0 + 1e-9) ELSE printf('%.2f GB', {B} / 1073741824.0 + 1e-9) END AS text FROM (SELECT o_orderkey, floor(o_totalprice) AS o_totalprice FROM orders)")
 def _(t):
     b = (F.floor("o_totalprice").cast("long") * (c("o_orderkey") % 9) * (c("o_orderkey") % 9) * 200).cast("long")
     return t.orders.select("o_orderkey", b.alias("b"), paths.human_bytes(b).alias("text"))
