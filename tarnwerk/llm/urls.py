@@ -131,7 +131,7 @@ e AS (
 ), u AS (SELECT DISTINCT url, fetched_at, host, path FROM p WHERE host IS NOT NULL),
 k AS (
   SELECT url, fetched_at, 'host' AS kind, host AS value, 10000 AS rank FROM u
-  UNION ALL SELECT url, fetched_at, 'domain', array_to_string(list_slice(string_split(host, '.'), i, NULL), '.'), len(string_split(host, '.')) - i + 1
+  UNION ALL SELECT url, fetched_at, 'domain', array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.'), len(string_split(host, '.')) - i + 1
     FROM (SELECT *, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM u)
   UNION ALL SELECT url, fetched_at, 'prefix', host || array_to_string(list_slice(string_split(path, '/'), 1, i), '/') || '/', 20000 + i
     FROM (SELECT *, unnest(range(1, greatest(len(string_split(path, '/')) - 1, 1) + 1)) AS i FROM u)

@@ -133,7 +133,7 @@ WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
 ), ok AS (
   SELECT vec_id, x FROM v WHERE vec_id IS NOT NULL AND x IS NOT NULL AND len(x) > 0
-    AND len(list_filter(x, y -> y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(x, y -> y <> 0)) > 0
+    AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0
 ), link AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
   WHERE list_dot_product(a.x, b.x) / sqrt(list_dot_product(a.x, a.x) * list_dot_product(b.x, b.x)) >= 0.9
