@@ -297,3 +297,55 @@ def _(t):
     link = k.isin(1, 2, 3)
     rows = t.documents.select(F.lit("a").alias("archive"), c("doc_id").alias("seq"), c("doc_id").cast("string").alias("path"), F.when(link, "link").otherwise("reg").alias("type"), F.when(link, (c("doc_id") - 1).cast("string")).alias("link_target"), F.octet_length("text").cast("long").alias("size"), F.lit(None).cast("binary").alias("data"))
     return catalog.resolve_hardlinks(rows).select("seq", "size")
+
+
+def _built(t):
+    from tarnwerk.operators import build
+
+    files = roles.entries(t).select("path", "type", "size", "perm", "n_chunks", "external", "n_xattrs", "hash")
+    return build.build(files, catalog.parse_rules(roles.RULES))
+
+
+BUILT = f"""WITH {roles.OWNED}, every AS (
+  SELECT path, type, size, n_chunks, external, catalog_path FROM owned UNION ALL SELECT path, type, size, n_chunks, external, path FROM owned WHERE path IN (SELECT path FROM splits)
+)"""
+
+
+@query("build_subtree_rows", f"{BUILT} SELECT path, type, size, catalog_path FROM every")
+def _(t):
+    return _built(t).rows.select("path", "type", "size", "catalog_path")
+
+
+@query(
+    "build_subtree_counters",
+    f"""{BUILT}, own AS (SELECT * FROM every WHERE NOT (path IN (SELECT path FROM splits) AND path <> catalog_path)),
+s AS (SELECT catalog_path, sum((type = 'reg')::INT)::BIGINT AS regular, sum((type = 'dir')::INT)::BIGINT AS dir FROM own GROUP BY catalog_path),
+m AS (SELECT catalog_path, count(*) AS nested FROM owned WHERE path IN (SELECT path FROM splits) GROUP BY catalog_path)
+SELECT a.catalog_path, any_value(a.regular) AS self_regular, any_value(a.dir) AS self_dir, coalesce(any_value(m.nested), 0)::BIGINT AS self_nested, coalesce(sum(b.regular), 0)::BIGINT AS subtree_regular, coalesce(sum(b.dir), 0)::BIGINT AS subtree_dir
+FROM s a LEFT JOIN m ON m.catalog_path = a.catalog_path LEFT JOIN s b ON b.catalog_path <> a.catalog_path AND starts_with(b.catalog_path, a.catalog_path || '/') GROUP BY a.catalog_path""",
+)
+def _(t):
+    return _built(t).counters.select("catalog_path", "self_regular", "self_dir", "self_nested", "subtree_regular", "subtree_dir")
+
+
+@query("catalog_identity")
+def _(t):
+    return _built(t).identities
+
+
+@query("batch_insert", f"WITH {roles.TREE} SELECT path, size FROM tree")
+def _(t):
+    from tarnwerk.operators import build
+
+    tree = roles.tree(t).select("path", "type", "size")
+    return build.insert(tree.where("type = 'dir'"), tree.where("type <> 'dir'")).select("path", "size")
+
+
+@query("job_transition", f"WITH {roles.JOBS} SELECT id, CASE WHEN state = 'staging' AND id % 2 = 0 THEN 'uploading' WHEN state = 'leased' THEN 'committing' ELSE state END AS state FROM j")
+def _(t):
+    from tarnwerk.operators import build
+
+    jobs = roles.jobs(t)
+    to = F.when((c("state") == "staging") & (c("id") % 2 == 0), "uploading").when(c("state") == "leased", "committing")
+    changes = jobs.select("id", to.alias("to"), c("updated_at").alias("t"), F.lit("r1").alias("run_id"), F.lit("").alias("note")).where("to is not null")
+    return build.move_jobs(jobs, changes)[0].select("id", "state")
