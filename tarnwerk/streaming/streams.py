@@ -5,10 +5,11 @@ The operators have no event time of their own; what bounds their state here is a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwerk.streaming.state import Leases
@@ -71,3 +72,24 @@ def lease_stream(stream: DataFrame, per_node: int, ttl_s: float, at: str = "at")
 
     rows = stream.withWatermark(at, f"{int(ttl_s)} seconds").groupBy("node")
     return rows.applyInPandasWithState(run, "node string, seq long, granted boolean", "names array<string>, ends array<double>", "append", "EventTimeTimeout")
+
+
+def topic_matches(topic: Column, pattern: str) -> Column:
+    """Whether a topic matches a subscription: + stands for one segment, a final # for any rest."""
+    parts = ["[^/]+" if p == "+" else ".*" if p == "#" else re.escape(p) for p in pattern.split("/")]
+    return topic.rlike("^" + "/".join(parts).replace("/.*", "(/.*)?") + "$")
+
+
+def subscribe(spark: SparkSession, path: str, schema: str, pattern: str) -> DataFrame:
+    """A stream of the messages (JSON lines with a topic) that arrive as files under ``path`` and match a subscription."""
+    return spark.readStream.schema(schema).json(path).where(topic_matches(F.col("topic"), pattern))
+
+
+def manifests_in(stream: DataFrame, text: str = "value") -> DataFrame:
+    """Manifest documents of a stream or table of JSON texts, with the first rule that each breaks in ``error``."""
+    from tarnwerk.operators.distribution import manifest_error
+    from tarnwerk.schemas import MANIFEST
+
+    m = stream.withColumn("m", F.from_json(text, MANIFEST)).select("m.*")
+    hashes = F.transform("objects", lambda o: o["hash"])
+    return m.withColumn("error", manifest_error(*[F.col(c) for c in ("transaction_id", "repo", "target_root_hash", "base_urls", "generator", "auth")], hashes))

@@ -67,3 +67,25 @@ def test_lease_stream_equals_the_machine(spark, tmp_path):
     if all(a["at"] <= b["at"] for a, b in zip(ordered, ordered[1:])):
         assert got == want
     assert set(got) == set(want)
+
+
+def test_subscriptions_and_manifests(spark, tmp_path):
+    (tmp_path / "msg").mkdir()
+    (tmp_path / "msg/1.json").write_text('{"topic": "b/repos/r1/announce", "body": "1"}\n{"topic": "b/repos/r1/x/announce", "body": "2"}\n{"topic": "b/receivers/n/ready", "body": "3"}\n')
+    got = drain(spark, streams.subscribe(spark, str(tmp_path / "msg"), "topic string, body string", "b/repos/+/announce"), tmp_path, "announced")
+    assert [r.body for r in got.collect()] == ["1"]
+    assert [r.x for r in spark.createDataFrame([("b",), ("b/c/d",), ("bc",)], "t string").select(streams.topic_matches(F.col("t"), "b/#").alias("x")).collect()] == [True, True, False]
+    text = '{"transaction_id": "t", "repo": "r", "target_root_hash": "aa", "base_urls": ["u"], "generator": "%s", "objects": [{"hash": "%s", "size": 4}]}'
+    rows = spark.createDataFrame([(text % ("diff", "00aa"),), (text % ("guess", "00aa"),), (text % ("pipeline", "a/b"),)], "value string")
+    assert [r.error for r in streams.manifests_in(rows).collect()] == [None, "invalid generator", "invalid hash"]
+
+
+def test_fetchers():
+    import pytest
+
+    from tarnwerk.sources import registry
+
+    registry.register("local", lambda base, name: b"")
+    assert registry.names() == ["local"] and registry.get("local")("", "") == b""
+    with pytest.raises(KeyError):
+        registry.register("local", None)
