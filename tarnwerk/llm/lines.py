@@ -5,15 +5,15 @@ A line's shingles: the first 12 characters of each word and its successor ("word
 characters being replaced by every 12-character window in it, so that unbroken runs (other scripts, encoded data) are
 compared throughout. Equal lines have one key and are one node.
 
-Banding alone decides which lines are compared; inside a bucket no pairs are listed. Every member is compared with the
-bucket's pivot; members that are in one component by then need no further comparison. Buckets whose members fall into
-several components go on with the next pivot, and once few pairs are left, those are compared directly. So every pair
-of lines that shares a bucket ends up in one component or was compared, or both were.
+Banding decides which lines are compared; inside a bucket pairs are not listed. Every member is compared with the
+bucket's pivot; members that are in one component by then need no further comparison. What is left in buckets that
+still hold several components is compared inside a join, in large buckets only where rare shingles meet. So every pair
+of similar lines that shares a bucket ends up in one component.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwerk.llm.common import cut, join_hot, release
@@ -22,8 +22,10 @@ from tarnwerk.llm.components import connected_components
 SHINGLE, LONG_WORD = 12, 16
 #: A pair at similarity 0.8 shares a bucket with the chance 1 - (1 - 0.8^3)^6 = 0.987, at 0.9 with 0.9996.
 BANDS, BAND_ROWS = 6, 3
-#: Pivot rounds go on while the pairs left are more than so many a row of the buckets left.
-PAIRS_A_ROW = 4
+#: With more pairs left than so many a distinct line, components are found once before the rest is compared.
+PAIRS_A_LINE = 8
+#: Members of a bucket that are compared without asking first whether their rare shingles meet.
+LARGE = 64
 #: A band has a hash of its own; its signature values are minima under rotations of it, which order by different bits.
 ROTATIONS = [64 * r // BAND_ROWS for r in range(BAND_ROWS)]
 
@@ -42,9 +44,12 @@ def shingle(words: Column, i: Column) -> Column:
     return F.xxhash64(F.left(F.concat(F.get(words, i), F.lit(" "), F.coalesce(F.get(words, i + 1), F.lit(""))), F.lit(SHINGLE)))
 
 
-def shingle_set(line: Column) -> Column:
-    words = word_list(line)
-    return F.array_distinct(F.transform(words, lambda w, i: F.xxhash64(F.left(F.concat(w, F.lit(" "), F.coalesce(F.get(words, i + 1), F.lit(""))), F.lit(SHINGLE)))))
+def shingle_sets(rows: DataFrame) -> DataFrame:
+    """(k, s) of rows (k, line): the set of a line's shingles. The words are a column of their own, lest every element
+    splits the line anew."""
+    rows = rows.select("k", word_list(F.col("line")).alias("a"))
+    each = F.transform("a", lambda w, i: F.xxhash64(F.left(F.concat(w, F.lit(" "), F.coalesce(F.get("a", i + 1), F.lit(""))), F.lit(SHINGLE))))
+    return rows.select("k", F.array_distinct(each).alias("s"))
 
 
 def line_rows(docs: DataFrame, text: str, id_col: str) -> DataFrame:
@@ -58,10 +63,40 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     a = sets.select("k", F.col("s").alias("a"))
     b = sets.select(F.col("k").alias("p"), F.col("s").alias("b"))
     both = join_hot(join_hot(pairs, a, "k"), b, "p")
-    na, nb = F.size("a"), F.size("b")
-    both = both.where(F.least(na, nb) >= F.greatest(na, nb) * F.lit(threshold))
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.where(shared >= F.lit(threshold) * (na + nb - shared)).select("k", "p")
+    return both.where(_similar(F.col("a"), F.col("b"), threshold)).select("k", "p")
+
+
+def _similar(a: Column, b: Column, threshold: float) -> Column:
+    """Whether two shingle sets have at least that Jaccard similarity; sizes are compared first."""
+    na, nb = F.size(a), F.size(b)
+    shared = F.size(F.array_intersect(a, b))
+    near = F.least(na, nb) >= F.greatest(na, nb) * F.lit(threshold)
+    return F.when(near, shared >= F.lit(threshold) * (na + nb - shared)).otherwise(F.lit(False))
+
+
+def _linked_within(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (k, p) of similar lines among the rows (bk, k, c, pairs) of a bucket that aren't in one component.
+
+    In a bucket of up to LARGE members the sets travel with the members, and only similar pairs leave the join. In a
+    larger one (lines around one frequent passage) a pair is compared only if the rarest shingles of both meet: of two
+    sets of similarity t, the first n - ceil(t n) + 1 shingles in one common order share one, so none is lost, and with
+    rare shingles first the frequent passage brings nobody together."""
+    full = cut(join_hot(rows.select("bk", "k", "c", "pairs"), sets, "k"))
+    large = F.col("pairs") > LARGE / 2
+    few = full.where(~large)
+    other = few.select(F.col("bk").alias("b"), F.col("k").alias("p"), F.col("c").alias("d"), F.col("s").alias("z"))
+    apart = (F.col("bk") == F.col("b")) & (F.col("k") > F.col("p")) & (F.col("c") != F.col("d"))
+    near = few.join(other, apart & _similar(F.col("s"), F.col("z"), threshold)).select("k", "p").distinct()
+
+    size = F.size("s")
+    tokens = full.where(large).select("bk", "k", "c", (size - F.ceil(size * threshold - 1e-9) + 1).alias("first"), F.explode("s").alias("t"))
+    tokens = tokens.withColumn("t", F.xxhash64("bk", "t"))
+    often = tokens.groupBy("t").agg(F.count("*").alias("f"))
+    place = F.row_number().over(Window.partitionBy("bk", "k").orderBy("f", "t"))  # the shingles of a line
+    prefix = join_hot(tokens, often, "t").withColumn("place", place).where("place <= first and f > 1").select("t", "k", "c")
+    prefix = cut(prefix)
+    meet = prefix.join(prefix.select(F.col("t").alias("u"), F.col("k").alias("p"), F.col("c").alias("d")), (F.col("t") == F.col("u")) & (F.col("k") > F.col("p")) & (F.col("c") != F.col("d")))
+    return near.unionByName(_verified(meet.select("k", "p").distinct(), sets, threshold)).distinct()
 
 
 def line_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = 0.8) -> DataFrame:
@@ -79,6 +114,7 @@ def line_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     del words, mins
     release(spark)
 
+    few = PAIRS_A_LINE * signed.count()
     bands = signed.select("k", F.explode("bands").alias("bk"))
     shared = bands.groupBy("bk").agg(F.count("*").alias("n")).where("n > 1").select("bk")
     members = cut(join_hot(bands, shared, "bk").select("bk", "k"))
@@ -87,30 +123,24 @@ def line_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
     wanted = members.select("k").distinct()
     texts = line_rows(docs, text, id_col).select("k", "line")
-    found = texts.withColumn("x", F.col("k").bitwiseXOR(F.lit(1))).join(wanted.select(F.col("k").bitwiseXOR(F.lit(1)).alias("x")), "x", "left_semi")
-    sets = cut(found.groupBy("k").agg(F.min("line").alias("line")).select("k", shingle_set(F.col("line")).alias("s")))
+    found = texts.join(wanted.withColumnRenamed("k", "w"), F.col("k") == F.col("w"), "left_semi")
+    sets = cut(shingle_sets(found.groupBy("k").agg(F.min("line").alias("line"))))
     del texts, found, wanted
     release(spark)
 
-    # open: (bk, k, c) rows of buckets with pairs that are neither compared nor in one component
-    edges, todo = None, members.select("bk", "k", F.col("k").alias("c"))
-    while True:
-        pivots = todo.groupBy("bk").agg(F.min("k").alias("p"))
-        met = cut(join_hot(todo, pivots, "bk"))
-        linked = _verified(met.where("k <> p").select("k", "p").distinct(), sets, threshold)
-        edges = cut(linked if edges is None else edges.unionByName(linked))
-        comps = cut(connected_components(edges, "k", "p"))
-        todo = _open(join_hot(met.where("k <> p").select("bk", "k"), comps.select(F.col("node").alias("k"), F.col("component").alias("c")), "k", "left"))
-        rows, pairs = todo.agg(F.count("*"), F.sum("pairs")).first()
-        if not rows:
-            break
-        if pairs <= PAIRS_A_ROW * rows:
-            left, right = todo.select("bk", "k", "c"), todo.select("bk", F.col("k").alias("p"), F.col("c").alias("d"))
-            rest = left.join(right, "bk").where("k > p and c <> d").select("k", "p").distinct()
-            edges = cut(edges.unionByName(_verified(rest, sets, threshold)))
-            comps = cut(connected_components(edges, "k", "p"))
-            break
-        todo = todo.select("bk", "k", "c")
+    pivots = members.groupBy("bk").agg(F.min("k").alias("p"))
+    met = cut(join_hot(members, pivots, "bk").where("k <> p").select("bk", "k", "p"))
+    edges = cut(_verified(met.select("k", "p").distinct(), sets, threshold))
+    known = met.join(edges.withColumn("q", F.col("p")), ["k", "p"], "left")
+    # todo: rows (bk, k, c) of buckets with pairs that are neither compared nor in one component, as far as known
+    todo = _open(known.select("bk", "k", F.coalesce("q", "k").alias("c")))
+    rows, pairs = todo.agg(F.count("*"), F.sum("pairs")).first()
+    if rows and pairs > few:  # what other buckets have linked closes many of them
+        comps = connected_components(edges, "k", "p").select(F.col("node").alias("k"), F.col("component").alias("d"))
+        todo = _open(join_hot(todo, comps, "k", "left").select("bk", "k", F.coalesce("d", "k").alias("c")))
+    if rows:
+        edges = cut(edges.unionByName(_linked_within(todo, sets, threshold)))
+    comps = connected_components(edges, "k", "p")
     again = signed.where("again").select("k")
     known = comps.select(F.col("node").alias("k"), "component")
     alone = again.join(known.select(F.col("k").alias("o")), F.col("k") == F.col("o"), "left_anti").select("k", F.col("k").alias("component"))
@@ -150,12 +180,13 @@ def dedup_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", thr
     plain = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
     t, d = f"c{names.index(text)}", f"c{names.index(id_col)}"
     joined = plain.join(gone.hint("shuffle_hash"), F.col(d) == F.col("doc"), "left")
-    lines = F.split(F.col(t), "\n")
-    real = F.transform(F.filter("drop", lambda x: F.xxhash64(F.get(lines, x["pos"])) == x["k"]), lambda x: x["pos"])
+    joined = joined.withColumn("lines", F.split(F.col(t), "\n"))  # a column, lest every element splits the text anew
+    real = F.transform(F.filter("drop", lambda x: F.xxhash64(F.get("lines", x["pos"])) == x["k"]), lambda x: x["pos"])
     joined = joined.withColumn("gone", F.when(F.col("drop").isNotNull() & F.col(t).isNotNull(), real))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone"), lambda i: F.get(lines, i))
-    new = F.when(F.col("gone").isNull(), F.col(t)).otherwise(F.array_join(kept, "\n"))
-    extra = [F.coalesce(F.size(lines), F.lit(0)).alias("_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("_dropped")] if counts else []
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    joined = joined.withColumn("left", F.when(F.col("gone").isNotNull(), left))
+    new = F.when(F.col("gone").isNull(), F.col(t)).otherwise(F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n"))
+    extra = [F.coalesce(F.size("lines"), F.lit(0)).alias("_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("_dropped")] if counts else []
     return joined.select(*[(new if f"c{i}" == t else F.col(f"c{i}")).alias(c) for i, c in enumerate(names)], *extra)
 
 

@@ -74,7 +74,10 @@ def many_bands(monkeypatch):
     monkeypatch.setattr(lines, "BANDS", 16)
 
 
-def test_against_brute_force(spark, many_bands):
+@pytest.mark.parametrize("large", [64, 2])
+def test_against_brute_force(spark, monkeypatch, many_bands, large):
+    monkeypatch.setattr(lines, "LARGE", large)
+    monkeypatch.setattr(lines, "PAIRS_A_LINE", 8 if large > 2 else 0)
     run_of = "QWxhZGRpbjpvcGVuIHNlc2FtZQ" * 20
     rows = corpus(1) + [(None, "kept by a row without id\nagain"), (500, "again"), (None, None), (501, None), (502, ""), (503, "\n\n"), (504, run_of), (505, run_of[:12] + "zz" * 300), (506, run_of + "x")]
     rows += [(600, "twice the same row\nwith two lines"), (600, "twice the same row\nwith two lines"), (601, "漢字仮名交じり文の長い行" * 9), (602, "違う" + "漢字仮名交じり文の長い行" * 9)]
