@@ -29,7 +29,7 @@ def test_paths(spark):
     assert values(spark, [(p, "") for p in ("", "/a", "/a/b/c")], paths.ancestors(F.col("a"))) == [[], [""], ["", "/a", "/a/b"]]
     assert values(spark, [(t, "") for t in ("v1.0.0", "", "a" * 255, "tag name", "v1/0/0", "a" * 256)], paths.valid_tag(F.col("a"))) == [True] * 3 + [False] * 3
     assert values(spark, [(s, "") for s in ("ok", "", "a/b", "a+", "#", "a\0b")], paths.valid_topic_segment(F.col("a"))) == [True] + [False] * 5
-    assert values(spark, [(s, "") for s in ("atlas/24", "/x/", "", "/")], paths.lease_path(F.col("a"))) == ["/atlas/24", "/x", "", ""]
+    assert values(spark, [(s, "") for s in ("exp/24", "/x/", "", "/")], paths.lease_path(F.col("a"))) == ["/exp/24", "/x", "", ""]
     assert values(spark, [("00aabb", ""), ("ab", "")], paths.object_path(F.col("a"))) == ["data/00/aabb", "data/00/ab"]
 
 
