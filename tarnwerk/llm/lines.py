@@ -58,45 +58,75 @@ def line_rows(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     return rows.where(F.trim("line") != "").withColumn("k", F.xxhash64("line"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Those pairs (k, p) whose shingle sets have at least that Jaccard similarity."""
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, whatever the optimizer does with columns."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, of=lambda s: s) -> DataFrame:
+    """Those pairs (k, p) whose shingle sets have at least that Jaccard similarity. ``of``: the set that a value of
+    column s of ``sets`` stands for."""
     a = sets.select("k", F.col("s").alias("a"))
     b = sets.select(F.col("k").alias("p"), F.col("s").alias("b"))
     both = join_hot(join_hot(pairs, a, "k"), b, "p")
-    return both.where(_similar(F.col("a"), F.col("b"), threshold)).select("k", "p")
+    two = F.struct(of(F.col("a")).alias("a"), of(F.col("b")).alias("b"))
+    return both.where(_let(two, lambda x: _similar(x["a"], x["b"], threshold))).select("k", "p")
 
 
 def _similar(a: Column, b: Column, threshold: float) -> Column:
     """Whether two shingle sets have at least that Jaccard similarity; sizes are compared first."""
     na, nb = F.size(a), F.size(b)
-    shared = F.size(F.array_intersect(a, b))
     near = F.least(na, nb) >= F.greatest(na, nb) * F.lit(threshold)
-    return F.when(near, shared >= F.lit(threshold) * (na + nb - shared)).otherwise(F.lit(False))
+    enough = _let(F.size(F.array_intersect(a, b)), lambda shared: shared >= F.lit(threshold) * (na + nb - shared))
+    return F.when(near, enough).otherwise(F.lit(False))
 
 
-def _linked_within(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (k, p) of similar lines among the rows (bk, k, c, pairs) of a bucket that aren't in one component.
+def _linked_within(rows: DataFrame, sets: DataFrame, threshold: float, of=lambda s: s) -> DataFrame:
+    """Pairs (k, p) of similar members among the rows (bk, k, c, pairs) of a bucket that aren't in one component.
 
-    In a bucket of up to LARGE members the sets travel with the members, and only similar pairs leave the join. In a
-    larger one (lines around one frequent passage) a pair is compared only if the rarest shingles of both meet: of two
-    sets of similarity t, the first n - ceil(t n) + 1 shingles in one common order share one, so none is lost, and with
-    rare shingles first the frequent passage brings nobody together."""
+    A bucket of up to LARGE members is compared inside one row. In a larger one (lines around one frequent passage) a
+    pair is compared only if the rarest shingles of both meet: of two sets of similarity t, the first n - ceil(t n) + 1
+    shingles in one common order share one, so none is lost, and with rare shingles first the frequent passage brings
+    nobody together. Where two meet, their places bound what they can share at all; pairs below that are left out."""
     full = cut(join_hot(rows.select("bk", "k", "c", "pairs"), sets, "k"))
-    large = F.col("pairs") > LARGE / 2
-    few = full.where(~large)
-    other = few.select(F.col("bk").alias("b"), F.col("k").alias("p"), F.col("c").alias("d"), F.col("s").alias("z"))
-    apart = (F.col("bk") == F.col("b")) & (F.col("k") > F.col("p")) & (F.col("c") != F.col("d"))
-    near = few.join(other, apart & _similar(F.col("s"), F.col("z"), threshold)).select("k", "p").distinct()
-
-    size = F.size("s")
-    tokens = full.where(large).select("bk", "k", "c", (size - F.ceil(size * threshold - 1e-9) + 1).alias("first"), F.explode("s").alias("t"))
+    large = F.col("pairs") > (LARGE - 1) / 2
+    grouped = full.where(~large).groupBy("bk").agg(F.collect_list(F.struct("k", "c", "s")).alias("m"))
+    member = F.transform("m", lambda x: F.struct(x["k"].alias("k"), x["c"].alias("c"), of(x["s"]).alias("s")))
+    apart = lambda x, y: (x["k"] > y["k"]) & (x["c"] != y["c"]) & _similar(x["s"], y["s"], threshold)
+    links = lambda m: F.flatten(F.transform(m, lambda x: F.transform(F.filter(m, lambda y: apart(x, y)), lambda y: F.struct(x["k"].alias("k"), y["k"].alias("p")))))
+    near = grouped.select(F.explode(_let(member, links)).alias("e")).select("e.*").distinct()
+
+    size = F.size("z")
+    tokens = full.where(large).select("bk", "k", "c", of(F.col("s")).alias("z"))
+    tokens = tokens.select("bk", "k", "c", size.alias("n"), (size - F.ceil(size * threshold - 1e-9) + 1).alias("first"), F.explode("z").alias("t"))
     tokens = tokens.withColumn("t", F.xxhash64("bk", "t"))
     often = tokens.groupBy("t").agg(F.count("*").alias("f"))
     place = F.row_number().over(Window.partitionBy("bk", "k").orderBy("f", "t"))  # the shingles of a line
-    prefix = join_hot(tokens, often, "t").withColumn("place", place).where("place <= first and f > 1").select("t", "k", "c")
+    prefix = join_hot(tokens, often, "t").withColumn("place", place).where("place <= first and f > 1").select("t", "k", "c", "n", "place")
     prefix = cut(prefix)
-    meet = prefix.join(prefix.select(F.col("t").alias("u"), F.col("k").alias("p"), F.col("c").alias("d")), (F.col("t") == F.col("u")) & (F.col("k") > F.col("p")) & (F.col("c") != F.col("d")))
-    return near.unionByName(_verified(meet.select("k", "p").distinct(), sets, threshold)).distinct()
+    other = prefix.select(*[F.col(c).alias(x) for c, x in zip(prefix.columns, ["u", "p", "d", "o", "q"])])
+    most = F.least("place", "q") + F.least(F.col("n") - F.col("place"), F.col("o") - F.col("q"))
+    can = (most + 1e-6 >= (F.col("n") + F.col("o")) * (threshold / (1 + threshold))) & (F.least("n", "o") + 1e-6 >= F.greatest("n", "o") * threshold)
+    meet = prefix.join(other, (F.col("t") == F.col("u")) & (F.col("k") > F.col("p")) & (F.col("c") != F.col("d")) & can)
+    return near.unionByName(_verified(meet.select("k", "p").distinct(), sets, threshold, of)).distinct()
+
+
+def linked(members: DataFrame, sets: DataFrame, few: int, threshold: float, of=lambda s: s) -> DataFrame:
+    """Edges (k, p) that join all similar members of each bucket: members (bk, k), sets (k, s), ``of`` as above. With
+    more than ``few`` pairs left after the pivots, components are found once before the rest is compared."""
+    pivots = members.groupBy("bk").agg(F.min("k").alias("p"))
+    met = cut(join_hot(members, pivots, "bk").where("k <> p").select("bk", "k", "p"))
+    edges = cut(_verified(met.select("k", "p").distinct(), sets, threshold, of))
+    known = met.join(edges.withColumn("q", F.col("p")), ["k", "p"], "left")
+    # todo: rows (bk, k, c) of buckets with pairs that are neither compared nor in one component, as far as known
+    todo = _open(known.select("bk", "k", F.coalesce("q", "k").alias("c")))
+    rows, pairs = todo.agg(F.count("*"), F.sum("pairs")).first()
+    if rows and pairs > few:  # what other buckets have linked closes many of them
+        comps = connected_components(edges, "k", "p").select(F.col("node").alias("k"), F.col("component").alias("d"))
+        todo = _open(join_hot(todo, comps, "k", "left").select("bk", "k", F.coalesce("d", "k").alias("c")))
+    if rows:
+        edges = cut(edges.unionByName(_linked_within(todo, sets, threshold, of)))
+    return edges
 
 
 def line_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = 0.8) -> DataFrame:
@@ -128,18 +158,7 @@ def line_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     del texts, found, wanted
     release(spark)
 
-    pivots = members.groupBy("bk").agg(F.min("k").alias("p"))
-    met = cut(join_hot(members, pivots, "bk").where("k <> p").select("bk", "k", "p"))
-    edges = cut(_verified(met.select("k", "p").distinct(), sets, threshold))
-    known = met.join(edges.withColumn("q", F.col("p")), ["k", "p"], "left")
-    # todo: rows (bk, k, c) of buckets with pairs that are neither compared nor in one component, as far as known
-    todo = _open(known.select("bk", "k", F.coalesce("q", "k").alias("c")))
-    rows, pairs = todo.agg(F.count("*"), F.sum("pairs")).first()
-    if rows and pairs > few:  # what other buckets have linked closes many of them
-        comps = connected_components(edges, "k", "p").select(F.col("node").alias("k"), F.col("component").alias("d"))
-        todo = _open(join_hot(todo, comps, "k", "left").select("bk", "k", F.coalesce("d", "k").alias("c")))
-    if rows:
-        edges = cut(edges.unionByName(_linked_within(todo, sets, threshold)))
+    edges = linked(members, sets, few, threshold)
     comps = connected_components(edges, "k", "p")
     again = signed.where("again").select("k")
     known = comps.select(F.col("node").alias("k"), "component")
