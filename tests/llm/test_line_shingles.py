@@ -31,3 +31,10 @@ def test_short_lines_with_an_edit_within_a_word(spark, monkeypatch, large):
             rows.append((3 * k + v, line[:at] + "Z" * (v > 0) + line[at + (v > 0) :]))
     assert sum(jaccard(a, b) >= 0.8 for (_, a), (_, b) in zip(rows[::3], rows[1::3])) > 50
     assert test_lines.run(spark, rows) == test_lines.brute(rows)
+
+
+def test_lines_that_differ_late_in_a_word_all_stay(spark):
+    lines = ["card 4111111111111111", "card 4111111111119999", "00f1a2b3c4d5e6f7", "00f1a2b3c4d50918", "serial ABCDEFGHIJKL1234", "serial ABCDEFGHIJKL5678"]
+    assert all(jaccard(a, b) < 0.8 for a in lines for b in lines if a != b)
+    rows = [(k, x) for k, x in enumerate(lines)]
+    assert test_lines.run(spark, rows) == [(str(k), x) for k, x in rows]
