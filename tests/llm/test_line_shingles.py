@@ -38,3 +38,19 @@ def test_lines_that_differ_late_in_a_word_all_stay(spark):
     assert all(jaccard(a, b) < 0.8 for a in lines for b in lines if a != b)
     rows = [(k, x) for k, x in enumerate(lines)]
     assert test_lines.run(spark, rows) == [(str(k), x) for k, x in rows]
+
+
+def test_recall_of_the_bands_in_use_right_above_the_threshold(spark):
+    rnd = random.Random(6)
+    rows, near = [], 0
+    while near < 800:
+        line = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200))
+        other = list(line)
+        for at in rnd.sample(range(200), 5):
+            other[at] = "#"
+        if 0.8 <= jaccard(line, "".join(other)) < 0.85:
+            rows += [(2 * near, line), (2 * near + 1, "".join(other))]
+            near += 1
+    found = sum(t == "" for _, t in test_lines.run(spark, rows))
+    print(f"{found} of {near} pairs at 0.80 to 0.85")
+    assert found >= 0.987 * near
