@@ -41,7 +41,8 @@ def intervals(entries: DataFrame) -> DataFrame:
 
     An entry holds from ``at`` until the next one for its key, the last one for good (valid_to null). One that isn't
     active withdraws what was there. Of several at one time the last by (active, verdict) holds. Entries without kind,
-    value or time say nothing; hosts and domains are compared in lower case.
+    value or time say nothing; hosts and domains are compared in lower case. A prefix that ends in '/' covers all that
+    begins with it; one that doesn't covers the URL with exactly that path, neither what lies below it nor a longer name.
     """
     lower = F.when(F.col("kind") == "prefix", F.col("value")).otherwise(F.lower("value"))
     rows = entries.select("kind", lower.alias("value"), "verdict", F.coalesce("active", F.lit(False)).alias("active"), F.col("at").cast("timestamp_ntz").alias("valid_from"))
@@ -58,7 +59,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", at: str
 
     Captures of one URL at one time are judged once, so a host or URL with a third of all rows is joined in pieces.
     Defined cases: a URL that is null or has no host and a null time get the default; URLs are compared with their
-    prefixes as they are written, hosts in lower case; other columns pass unchanged (those named like the new ones are
+    prefixes as they are written (the rule for those without a final '/' is in intervals()), hosts in lower case; other columns pass unchanged (those named like the new ones are
     replaced); empty tables on either side are fine.
     """
     new = ["verdict", "matched_kind", "matched_value", "matched_from"]
