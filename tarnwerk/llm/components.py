@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwerk.llm.common import cut, join_hot
+from tarnwerk.llm.common import cut, join_hot, release
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -30,18 +30,24 @@ def _are_stars(e: DataFrame) -> bool:
     return not ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("to").alias("to")).where("out > 1 or out = 1 and to = 1").head(1)
 
 
+def _plain(edges: DataFrame, a: str, b: str) -> DataFrame:
+    ends = F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).isNotNull().alias("x"), F.col(b).isNotNull().alias("y")
+    return edges.select(*ends).where("x and y and u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")).distinct()
+
+
+def contracted(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Edges (a, b) with the components of ``edges`` after one round, a > b: most components are stars by then."""
+    e = _small_star(_large_star(cut(_plain(edges, a, b))))
+    return e.select(F.col("u").alias(a), F.col("v").alias(b))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node on an edge that joins two different nodes; component is the smallest node.
 
     ``a`` and ``b`` are long columns. Edges with a null end and loops say nothing and are left out, repeats count
     once, an empty input gives an empty result. Stops when all components are stars: O(log n) rounds in practice; more than ``max_rounds`` is an error, never a partial answer.
     """
-    e = cut(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).isNotNull().alias("x"), F.col(b).isNotNull().alias("y"))
-        .where("x and y and u <> v")
-        .select(F.col("u").cast("long"), F.col("v").cast("long"))
-        .distinct()
-    )
+    e = cut(_plain(edges, a, b))
     if not e.head(1):
         return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(max_rounds):
@@ -49,4 +55,5 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
             roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
         e = cut(_small_star(_large_star(e)))
+        release(e.sparkSession)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

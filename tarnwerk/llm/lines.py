@@ -5,30 +5,39 @@ A line's shingles: the 5 characters at every position (a shorter line is one shi
 exact similarity alike. Equal lines have one key and are one node. Between steps lines travel as text; a set is made
 where it is compared, for it takes eight bytes a character.
 
-Banding decides which lines are compared; inside a bucket pairs are not listed. Every member is compared with the
-bucket's pivot; members that are in one component by then need no further comparison. What is left in buckets that
-still hold several components is compared inside a join, in large buckets only where rare shingles meet. So every pair
-of similar lines that shares a bucket ends up in one component.
+Signature: one 32-bit hash a shingle; value i is the least of hash xor seed i, which is the shingle nearest to a
+point of the hash space and is the same for two lines with the chance of their similarity. All points lie in the half
+of the space that negative hashes are near, so other shingles can be left out but for a line's first few, which stand
+in where a line has none in that half. Values spread over the space, so short lines repeat shingles among them.
+
+Banding decides which lines are compared; bucketlinks says how, without listing the pairs of a bucket.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnwerk.llm.bucketlinks import PLANE_NAMES, Kind, let, linked, planes
 from tarnwerk.llm.common import cut, join_hot, release
 from tarnwerk.llm.components import connected_components
 
 SHINGLE = 5
-#: A pair at similarity 0.8 shares a bucket with the chance 1 - (1 - 0.8^4)^9 = 0.991, at 0.9 with 0.9998. Lines of one
-#: language share short shingles: with three values a band, unrelated lines fill the buckets.
+#: A pair at similarity 0.8 shares a bucket with the chance 1 - (1 - 0.8^4)^9 = 0.991, at 0.9 with 0.9998.
 BANDS, BAND_ROWS = 9, 4
-#: With more pairs left than so many a distinct line, components are found once before the rest is compared.
-PAIRS_A_LINE = 8
-#: Members of a bucket that are compared without asking first whether their rare shingles meet.
-LARGE = 64
-#: A band has a hash of its own; its signature values are minima under rotations of it, which order by different bits.
-ROTATIONS = [64 * r // BAND_ROWS for r in range(BAND_ROWS)]
+#: A line of up to SHORT characters has few shingles to choose from, and its bands miss together; it gets bands of
+#: SHORT_ROWS values as well, with which pairs at similarity 0.8 meet with the chance 0.97 at 5 shingles, 0.99 at 15.
+SHORT, SHORT_ROWS = 48, 2
+#: Shingles at the start of a line that are read whatever their hash.
+ALWAYS = 8
+
+
+def seeds(count: int) -> list[int]:
+    """Points of the half space of non-negative 32-bit integers, spread over its 64 parts in a fixed random order."""
+    rng = np.random.default_rng(9)
+    parts = np.concatenate([rng.permutation(64) for _ in range(-(-count // 64))])[:count]
+    return [int(p) << 25 | int(x) for p, x in zip(parts, rng.integers(0, 1 << 25, count))]
 
 
 def wide(line: Column) -> Column:
@@ -38,16 +47,16 @@ def wide(line: Column) -> Column:
 
 def places(w: Column) -> Column:
     """Where the shingles of a wide line start."""
-    return F.sequence(F.lit(0), F.greatest((F.octet_length(w) / 4).cast("int") - SHINGLE, F.lit(0)))
+    return F.sequence(F.lit(0), F.greatest(F.shiftright(F.octet_length(w), 2) - SHINGLE, F.lit(0)))
 
 
 def shingle(w: Column, i: Column) -> Column:
-    return F.xxhash64(F.substring(w, i * 4 + 1, F.lit(4 * SHINGLE)))
+    return F.substring(w, i * 4 + 1, F.lit(4 * SHINGLE))
 
 
 def shingle_set(line: Column) -> Column:
-    """The set of a line's shingles; the wide line is made once, not for every element."""
-    return _let(wide(line), lambda w: F.array_distinct(F.transform(places(w), lambda i: shingle(w, i))))
+    """The set of a line's shingles, by hash; the wide line is made once, not for every element."""
+    return let(wide(line), lambda w: F.array_distinct(F.transform(places(w), lambda i: F.xxhash64(shingle(w, i)))))
 
 
 def line_rows(docs: DataFrame, text: str, id_col: str) -> DataFrame:
@@ -56,121 +65,43 @@ def line_rows(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     return rows.where(F.trim("line") != "").withColumn("k", F.xxhash64("line"))
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, whatever the optimizer does with columns."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, of=lambda s: s) -> DataFrame:
-    """Those pairs (k, p) whose shingle sets have at least that Jaccard similarity. ``of``: the set that a value of
-    column s of ``sets`` stands for."""
-    a = sets.select("k", F.col("s").alias("a"))
-    b = sets.select(F.col("k").alias("p"), F.col("s").alias("b"))
-    both = join_hot(join_hot(pairs, a, "k"), b, "p")
-    two = F.struct(of(F.col("a")).alias("a"), of(F.col("b")).alias("b"))
-    return both.where(_let(two, lambda x: _similar(x["a"], x["b"], threshold))).select("k", "p")
-
-
-def _similar(a: Column, b: Column, threshold: float) -> Column:
-    """Whether two shingle sets have at least that Jaccard similarity; sizes are compared first."""
-    na, nb = F.size(a), F.size(b)
-    near = F.least(na, nb) >= F.greatest(na, nb) * F.lit(threshold)
-    enough = _let(F.size(F.array_intersect(a, b)), lambda shared: shared >= F.lit(threshold) * (na + nb - shared))
-    return F.when(near, enough).otherwise(F.lit(False))
-
-
-def _linked_within(rows: DataFrame, sets: DataFrame, threshold: float, of=lambda s: s) -> DataFrame:
-    """Pairs (k, p) of similar members among the rows (bk, k, c, pairs) of a bucket that aren't in one component.
-
-    A bucket of up to LARGE members is compared inside one row. In a larger one (lines around one frequent passage) a
-    pair is compared only if the rarest shingles of both meet: of two sets of similarity t, the first n - ceil(t n) + 1
-    shingles in one common order share one, so none is lost, and with rare shingles first the frequent passage brings
-    nobody together. Where two meet, their places bound what they can share at all; pairs below that are left out."""
-    full = cut(join_hot(rows.select("bk", "k", "c", "pairs"), sets, "k"))
-    large = F.col("pairs") > (LARGE - 1) / 2
-    grouped = full.where(~large).groupBy("bk").agg(F.collect_list(F.struct("k", "c", "s")).alias("m"))
-    member = F.transform("m", lambda x: F.struct(x["k"].alias("k"), x["c"].alias("c"), of(x["s"]).alias("s")))
-    apart = lambda x, y: (x["k"] > y["k"]) & (x["c"] != y["c"]) & _similar(x["s"], y["s"], threshold)
-    links = lambda m: F.flatten(F.transform(m, lambda x: F.transform(F.filter(m, lambda y: apart(x, y)), lambda y: F.struct(x["k"].alias("k"), y["k"].alias("p")))))
-    near = grouped.select(F.explode(_let(member, links)).alias("e")).select("e.*").distinct()
-
-    size = F.size("z")
-    tokens = full.where(large).select("bk", "k", "c", of(F.col("s")).alias("z"))
-    tokens = tokens.select("bk", "k", "c", size.alias("n"), (size - F.ceil(size * threshold - 1e-9) + 1).alias("first"), F.explode("z").alias("t"))
-    tokens = tokens.withColumn("t", F.xxhash64("bk", "t"))
-    often = tokens.groupBy("t").agg(F.count("*").alias("f"))
-    place = F.row_number().over(Window.partitionBy("bk", "k").orderBy("f", "t"))  # the shingles of a line
-    prefix = join_hot(tokens, often, "t").withColumn("place", place).where("place <= first and f > 1").select("t", "k", "c", "n", "place")
-    prefix = cut(prefix)
-    other = prefix.select(*[F.col(c).alias(x) for c, x in zip(prefix.columns, ["u", "p", "d", "o", "q"])])
-    most = F.least("place", "q") + F.least(F.col("n") - F.col("place"), F.col("o") - F.col("q"))
-    can = (most + 1e-6 >= (F.col("n") + F.col("o")) * (threshold / (1 + threshold))) & (F.least("n", "o") + 1e-6 >= F.greatest("n", "o") * threshold)
-    meet = prefix.join(other, (F.col("t") == F.col("u")) & (F.col("k") > F.col("p")) & (F.col("c") != F.col("d")) & can)
-    return near.unionByName(_verified(meet.select("k", "p").distinct(), sets, threshold, of)).distinct()
-
-
-def linked(members: DataFrame, sets: DataFrame, few: int, threshold: float, of=lambda s: s) -> DataFrame:
-    """Edges (k, p) that join all similar members of each bucket: members (bk, k), sets (k, s), ``of`` as above. With
-    more than ``few`` pairs left after the pivots, components are found once before the rest is compared."""
-    pivots = members.groupBy("bk").agg(F.min("k").alias("p"))
-    met = cut(join_hot(members, pivots, "bk").where("k <> p").select("bk", "k", "p"))
-    edges = cut(_verified(met.select("k", "p").distinct(), sets, threshold, of))
-    known = met.join(edges.withColumn("q", F.col("p")), ["k", "p"], "left")
-    # todo: rows (bk, k, c) of buckets with pairs that are neither compared nor in one component, as far as known
-    todo = _open(known.select("bk", "k", F.coalesce("q", "k").alias("c")))
-    rows, pairs = todo.agg(F.count("*"), F.sum("pairs")).first()
-    if rows and pairs > few:  # what other buckets have linked closes many of them
-        comps = connected_components(edges, "k", "p").select(F.col("node").alias("k"), F.col("component").alias("d"))
-        todo = _open(join_hot(todo, comps, "k", "left").select("bk", "k", F.coalesce("d", "k").alias("c")))
-    if rows:
-        edges = cut(edges.unionByName(_linked_within(todo, sets, threshold, of)))
-    return edges
+def signatures(docs: DataFrame, text: str, id_col: str) -> DataFrame:
+    """(k, again, bands, s0..): a row a distinct line; again: it occurs more than once; s0..: one bit of each value."""
+    marks = line_rows(docs, text, id_col).select("k", wide(F.col("line")).alias("w"))
+    marks = marks.select("k", "w", F.explode(places(F.col("w"))).alias("i"))
+    h = F.shiftright(F.xxhash64(shingle(F.col("w"), F.col("i"))), 32)
+    marks = marks.select("k", "i", h.alias("h")).where((F.col("h") < 0) | (F.col("i") < ALWAYS))
+    count = BANDS * BAND_ROWS
+    least = [F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{j}") for j, c in enumerate(seeds(count))]
+    mins = marks.groupBy("k").agg(F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("n"), F.max("i").alias("last"), *least)
+    found = mins.select("k", (F.col("n") > 1).alias("again"), "last", F.array(*[f"m{j}" for j in range(count)]).alias("v"), *planes(count))
+
+    def keys(v, rows, sort):  # from an array: so many hashes in one generated method would be too large to be compiled
+        starts = F.sequence(F.lit(0), F.lit(count - rows), F.lit(rows))
+        return F.transform(starts, lambda j: F.xxhash64(F.lit(sort), j, *[F.get(v, j + r) for r in range(rows)]))
+
+    of = lambda v: F.when(F.col("last") <= SHORT - SHINGLE, F.concat(keys(v, BAND_ROWS, 0), keys(v, SHORT_ROWS, 1))).otherwise(keys(v, BAND_ROWS, 0))
+    return found.select("k", "again", let(F.col("v"), of).alias("bands"), *PLANE_NAMES)
 
 
 def line_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = 0.8) -> DataFrame:
     """(k, component) for the keys of lines that occur more than once or are similar to another line; component is the
     smallest key of the class."""
-    spark = docs.sparkSession
-    marks = line_rows(docs, text, id_col).select("k", wide(F.col("line")).alias("w"))
-    marks = marks.select("k", "w", F.explode(places(F.col("w"))).alias("i"))
-    marks = marks.select("k", F.when(F.col("i") == 0, 1).otherwise(0).alias("one"), shingle(F.col("w"), F.col("i")).alias("h"))
-    marks = marks.select("k", "one", *[F.xxhash64("h", F.lit(b)).alias(f"h{b}") for b in range(BANDS)])
-    turned = lambda h, r: F.shiftleft(h, r).bitwiseOR(F.shiftrightunsigned(h, 64 - r)) if r else F.col(h)
-    mins = marks.groupBy("k").agg(F.sum("one").alias("n"), *[F.min(turned(f"h{b}", r)).alias(f"m{BAND_ROWS * b + j}") for b in range(BANDS) for j, r in enumerate(ROTATIONS)])
-    keys = [F.xxhash64(F.lit(b), *[f"m{BAND_ROWS * b + r}" for r in range(BAND_ROWS)]) for b in range(BANDS)]
-    signed = cut(mins.select("k", (F.col("n") > 1).alias("again"), F.array(*keys).alias("bands")))
-    del marks, mins
-    release(spark)
-
-    few = PAIRS_A_LINE * signed.count()
-    bands = signed.select("k", F.explode("bands").alias("bk"))
-    shared = bands.groupBy("bk").agg(F.count("*").alias("n")).where("n > 1").select("bk")
-    members = cut(join_hot(bands, shared, "bk").select("bk", "k"))
-    del bands, shared
-    release(spark)
+    signed = cut(signatures(docs, text, id_col))
+    release(docs.sparkSession)
 
-    wanted = members.select("k").distinct()
-    texts = line_rows(docs, text, id_col).select("k", "line")
-    found = texts.join(wanted.withColumnRenamed("k", "w"), F.col("k") == F.col("w"), "left_semi")
-    sets = cut(found.groupBy("k").agg(F.min("line").alias("s")))
-    del texts, found, wanted
-    release(spark)
+    def fetch(keys: DataFrame) -> DataFrame:
+        rows = line_rows(docs, text, id_col).select("k", "line")
+        found = rows.join(keys.withColumnRenamed("k", "w"), F.col("k") == F.col("w"), "left_semi")
+        return found.groupBy("k").agg(F.min("line").alias("line"))
 
-    edges = linked(members, sets, few, threshold, shingle_set)
-    comps = connected_components(edges, "k", "p")
+    comps = connected_components(linked(signed, fetch, threshold, Kind(BANDS * BAND_ROWS, shingle_set, F.length)), "k", "p")
     again = signed.where("again").select("k")
     known = comps.select(F.col("node").alias("k"), "component")
     alone = again.join(known.select(F.col("k").alias("o")), F.col("k") == F.col("o"), "left_anti").select("k", F.col("k").alias("component"))
     return cut(known.unionByName(alone))
 
 
-def _open(rows: DataFrame) -> DataFrame:
-    """Rows (bk, k, c, pairs) of those buckets that still hold several components; pairs: this row's share of theirs."""
-    rows = rows.select("bk", "k", F.coalesce("c", "k").alias("c"))
-    state = rows.groupBy("bk").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bk", "n")
-    return cut(join_hot(rows, state, "bk").select("bk", "k", "c", ((F.col("n") - 1) / 2).alias("pairs")))
-
-
 def dropped_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = 0.8) -> DataFrame:
     """(doc, pos, k, component) of every line occurrence that isn't the first (by id, then position) of its class."""
     classes = line_components(docs, text, id_col, threshold)

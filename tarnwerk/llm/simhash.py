@@ -208,9 +208,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
 
 def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **how) -> DataFrame:
-    """``docs`` without the rows whose id is not the smallest of their group. Rows with a null id stay."""
-    gone = near_duplicates(docs, text, id_col, **how).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """``docs`` without the rows whose id is not the smallest of their text's group.
+
+    Defined cases: a row is judged by its own text, so of rows that share an id only those go whose text's group has a
+    smaller id; equal rows stay or go together; rows with a null id stay; an empty table gives an empty result.
+    """
+    key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    rows = cut(docs.select(F.col(id_col).cast("long").alias("id"), key.alias("k")))
+    groups = cut(near_duplicates(docs.select(key.alias("k"), F.col(text).alias("text")), "text", "k", **how).select("k", F.col("component_id").alias("g")).distinct())
+    grouped = join_hot(rows, groups, "k")
+    gone = join_hot(grouped, grouped.groupBy("g").agg(F.min("id").alias("low")), "g").where("id <> low").select(F.col("id").alias("_gone_id"), F.col("k").alias("_gone_k")).distinct()
+    return docs.join(gone, (F.col(id_col).cast("long") == F.col("_gone_id")) & (key == F.col("_gone_k")), "left_anti")
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

@@ -48,11 +48,11 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("large", [64, 2])
-def test_stage_drops_what_brute_force_jaccard_drops(spark, monkeypatch, large):
-    from tarnwerk.llm import lines
+@pytest.mark.parametrize("tile", [256, 2])
+def test_stage_drops_what_brute_force_jaccard_drops(spark, monkeypatch, tile):
+    from tarnwerk.llm import bucketlinks
 
-    monkeypatch.setattr(lines, "LARGE", large)
+    monkeypatch.setattr(bucketlinks, "TILE", tile)
     rows = corpus(5)
     want, near = brute(rows)
     assert near > 60
@@ -60,3 +60,14 @@ def test_stage_drops_what_brute_force_jaccard_drops(spark, monkeypatch, large):
     got = corpus_pipeline.drop_near_duplicates(spark, df, "")
     assert got.columns == df.columns
     assert sorted(str(r.doc_id) for r in got.collect()) == want
+
+
+def test_rows_that_share_an_id_lose_only_the_text_that_is_elsewhere(spark):
+    rows = [(2, "one two three four five six"), (5, "one two three four five six"), (5, "a text that nothing else resembles"), (7, "twice the same row"), (7, "twice the same row")]
+    df = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], SCHEMA)
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect())
+    assert got == [rows[0], rows[2], rows[3], rows[4]]
+
+
+def test_no_rows(spark):
+    assert corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame([], SCHEMA), "").collect() == []

@@ -4,10 +4,7 @@ import random
 
 import pytest
 import test_lines
-
-
-def shingles(line):
-    return {line[i : i + 5] for i in range(max(len(line) - 4, 1))}
+from test_lines import shingles
 
 
 def jaccard(a, b):
@@ -15,13 +12,12 @@ def jaccard(a, b):
     return len(a & b) / len(a | b)
 
 
-@pytest.mark.parametrize("large", [64, 2])
-def test_short_lines_with_an_edit_within_a_word(spark, monkeypatch, large):
-    from tarnwerk.llm import lines
+@pytest.mark.parametrize("tile", [256, 3])
+def test_short_lines_with_an_edit_within_a_word(spark, monkeypatch, tile):
+    from tarnwerk.llm import bucketlinks, lines
 
     monkeypatch.setattr(lines, "BANDS", 16)
-    monkeypatch.setattr(lines, "LARGE", large)
-    monkeypatch.setattr(test_lines, "shingles", shingles)
+    monkeypatch.setattr(bucketlinks, "TILE", tile)
     rnd = random.Random(4)
     rows = []
     for k in range(60):

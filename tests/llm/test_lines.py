@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tarnwerk.llm import lines
+from tarnwerk.llm import bucketlinks, lines
 
 SCHEMA = "doc_id long, text string, k string, pos string"
 
@@ -12,10 +12,7 @@ def frame(spark, rows):
 
 
 def shingles(line):
-    words = []
-    for w in line.split(" "):
-        words += [w] if len(w) <= 16 else [w[i : i + 12] for i in range(len(w) - 11)]
-    return {f"{w} {n}"[:12] for w, n in zip(words, [*words[1:], ""])}
+    return {line[i : i + 5] for i in range(max(len(line) - 4, 1))}
 
 
 def brute(rows, threshold=0.8):
@@ -74,10 +71,9 @@ def many_bands(monkeypatch):
     monkeypatch.setattr(lines, "BANDS", 16)
 
 
-@pytest.mark.parametrize("large", [64, 2])
-def test_against_brute_force(spark, monkeypatch, many_bands, large):
-    monkeypatch.setattr(lines, "LARGE", large)
-    monkeypatch.setattr(lines, "PAIRS_A_LINE", 8 if large > 2 else 0)
+@pytest.mark.parametrize("tile", [256, 3])
+def test_against_brute_force(spark, monkeypatch, many_bands, tile):
+    monkeypatch.setattr(bucketlinks, "TILE", tile)
     run_of = "QWxhZGRpbjpvcGVuIHNlc2FtZQ" * 20
     rows = corpus(1) + [(None, "kept by a row without id\nagain"), (500, "again"), (None, None), (501, None), (502, ""), (503, "\n\n"), (504, run_of), (505, run_of[:12] + "zz" * 300), (506, run_of + "x")]
     rows += [(600, "twice the same row\nwith two lines"), (600, "twice the same row\nwith two lines"), (601, "漢字仮名交じり文の長い行" * 9), (602, "違う" + "漢字仮名交じり文の長い行" * 9)]

@@ -114,3 +114,9 @@ def test_walk_with_many_equal_leaves_in_small_memory(monkeypatch):
 def test_keep_one_drops_all_but_the_smallest(spark):
     df = spark.createDataFrame([(4, "a b c d"), (2, "a b c d"), (9, "x y z w q"), (None, "a b c d")], "doc_id long, text string")
     assert sorted(str(r.doc_id) for r in simhash.keep_one(df).collect()) == ["2", "9", "None"]
+
+
+def test_keep_one_judges_rows_that_share_an_id_by_their_texts(spark):
+    rows = [(2, "one two three four five six"), (5, "one two three four five six"), (5, "a text that nothing else resembles")]
+    got = sorted((r.doc_id, r.text) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [rows[0], rows[2]]
