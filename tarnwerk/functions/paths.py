@@ -52,7 +52,7 @@ def lease_path(p: Column) -> Column:
 
 
 def object_path(h: Column) -> Column:
-    return F.when(F.length(h) < 3, F.concat(F.lit("data/00/"), h)).otherwise(F.concat(F.lit("data/"), F.substring(h, 1, 2), F.lit("/"), F.substring(h, 3, 1_000_000)))
+    return F.when(F.length(h) < 2, F.concat(F.lit("data/00/"), h)).otherwise(F.concat(F.lit("data/"), F.substring(h, 1, 2), F.lit("/"), F.substring(h, 3, 1_000_000)))
 
 
 def object_url(base: Column, h: Column) -> Column:
@@ -66,8 +66,8 @@ def replica_path(root: Column, h: Column) -> Column:
 
 def hash_of_data_path(p: Column) -> Column:
     """The object that a `.../data/xx/rest` path names, null for other paths."""
-    found = F.regexp_extract(p, r"^.*/data/([^/]{2})/([^/]+)$", 1)
-    rest = F.regexp_extract(p, r"^.*/data/([^/]{2})/([^/]+)$", 2)
+    found = F.regexp_extract(p, r"(?s)^.*/data/([^/]{2})/([^/]+)\z", 1)
+    rest = F.regexp_extract(p, r"(?s)^.*/data/([^/]{2})/([^/]+)\z", 2)
     name = F.concat(found, rest)
     return F.when((rest != "") & valid_object_name(name), name)
 
@@ -84,11 +84,11 @@ def safe_file_name(s: Column) -> Column:
 
 
 def valid_object_name(h: Column) -> Column:
-    return h.rlike("^[0-9A-Za-z]{3,}$")
+    return h.rlike(r"^[0-9A-Za-z]{3,}\z")
 
 
 def valid_repo_name(r: Column) -> Column:
-    return r.rlike(r"^[0-9A-Za-z._-]{1,255}$")
+    return r.rlike(r"^[0-9A-Za-z._-]{1,255}\z")
 
 
 def valid_topic_segment(s: Column) -> Column:
@@ -96,7 +96,7 @@ def valid_topic_segment(s: Column) -> Column:
 
 
 def valid_tag(t: Column) -> Column:
-    return (t == "") | t.rlike(r"^[A-Za-z0-9._-]{1,255}$")
+    return (t == "") | t.rlike(r"^[A-Za-z0-9._-]{1,255}\z")
 
 
 def topic(base: str, kind: str, name: Column, what: str) -> Column:

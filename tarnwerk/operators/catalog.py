@@ -35,7 +35,7 @@ def glob_regex(pattern: str) -> str:
             i = end + 1
         else:
             out.append("\\" + c if c in ".^$+(){}|]" else c)
-    return "^" + "".join(out) + "$"
+    return "^" + "".join(out) + "\\z"
 
 
 def parse_rules(text: str) -> list[tuple[str, bool, bool]]:

@@ -34,6 +34,13 @@ def lookup(store: DataFrame, name: str, key: str = "hash") -> DataFrame:
     return store.where((F.col("shard") == name[:2]) & (F.col(key) == name))
 
 
+def lookup_all(wanted: DataFrame, store: DataFrame, key: str = "hash") -> DataFrame:
+    """``wanted`` with whether each name is held, by its shard and name, as a point lookup finds it."""
+    there = store.select("shard", key).distinct().withColumn("held", F.lit(True))
+    found = sharded(wanted, key).join(there, ["shard", key], "left")
+    return found.withColumn("held", F.coalesce("held", F.lit(False))).drop("shard")
+
+
 def put(objects: DataFrame, path: str, key: str = "hash") -> None:
     """Append the objects that the store at ``path`` doesn't hold yet."""
     spark = objects.sparkSession

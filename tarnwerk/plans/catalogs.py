@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnwerk.functions import paths
-from tarnwerk.operators import catalog, chunks, store
+from tarnwerk.operators import catalog, chunks, order, store
 from tarnwerk.plans import roles
 from tarnwerk.plans.registry import query
 
@@ -68,9 +68,9 @@ def _(t):
     return roles.entries(t).select("hash", "size").distinct().agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
-@query("object_lookup", f"WITH {roles.ENTRIES} SELECT hash, max(size) AS size FROM e WHERE substr(hash, 1, 2) = '0a' GROUP BY hash")
+@query("object_lookup", f"WITH {roles.ENTRIES}, {HELD_DOCS} SELECT hash, coalesce(h.hash IS NOT NULL, false) AS held, max(size) AS size FROM e LEFT JOIN h USING (hash) GROUP BY ALL")
 def _(t):
-    return store.sharded(roles.entries(t)).where(c("shard") == "0a").groupBy("hash").agg(F.max("size").alias("size"))
+    return store.lookup_all(roles.entries(t).groupBy("hash").agg(F.max("size").alias("size")), store.sharded(_held(t))).select("hash", "held", "size")
 
 
 @query("upload_log_distinct", f"WITH {roles.ENTRIES} SELECT hash, min(seq) AS first_seq FROM e GROUP BY hash")
@@ -84,12 +84,9 @@ def _(t):
     return roles.entries(t).join(log, "hash", "left").select("seq", F.coalesce("logged", F.lit(False)).alias("logged"))
 
 
-@query("largest_first", f"WITH {roles.ENTRIES} SELECT seq, size, row_number() OVER (ORDER BY size DESC, seq) AS place FROM e QUALIFY place <= 100")
+@query("largest_first", f"WITH {roles.ENTRIES} SELECT seq, size, row_number() OVER (ORDER BY size DESC, seq) AS place FROM e")
 def _(t):
-    top = roles.entries(t).select("seq", "size").orderBy(F.desc("size"), "seq").limit(100)  # the head of the schedule
-    from pyspark.sql import Window
-
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("size"), "seq")).cast("long"))
+    return order.placed(roles.entries(t).select("seq", "size"), F.desc("size"), "seq")
 
 
 @query("union_archives", "SELECT 'docs' AS archive, sha1(text) AS hash, count(*) AS n FROM documents GROUP BY ALL UNION ALL SELECT 'bench', sha1(text), count(*) FROM benchmark GROUP BY ALL")
@@ -273,12 +270,12 @@ def _(t):
     return roles.tree(t).groupBy(F.md5(c("path").cast("binary")).alias("key")).agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("lookup_file_hash", f"WITH {roles.ENTRIES} SELECT path, hash FROM e WHERE path IN (SELECT '/' || source || '/' || lang || '/' || doc_id FROM documents WHERE doc_id % 10 = 1)")
+@query("lookup_file_hash", f"WITH {roles.ENTRIES} SELECT path, hash FROM e WHERE path IN (SELECT '/' || source || '/' || lang || '/' || doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))")
 def _(t):
     from tarnwerk.functions.bits import md5_path
 
     keyed = lambda df: df.select(*df.columns, *[k.alias(f"k{i}") for i, k in enumerate(md5_path(c("path")))])
-    asked = keyed(roles.entries(t).where("seq % 10 = 1").select("path")).drop("path")
+    asked = keyed(roles.entries(t).join(t.labels.select(c("doc_id").alias("seq")).distinct(), "seq", "left_semi").select("path")).drop("path")
     return keyed(roles.entries(t).select("path", "hash")).join(asked.distinct(), ["k0", "k1"], "left_semi").select("path", "hash")
 
 

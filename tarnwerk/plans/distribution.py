@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tarnwerk.operators import distribution, journal, store
+from tarnwerk.operators import distribution, journal, order, store
 from tarnwerk.plans import roles
 from tarnwerk.plans.registry import query
 
@@ -143,10 +143,9 @@ def _(t):
     return roles.records(t).groupBy("txn_id").agg(F.bool_or(c("phase") == "commit").alias("committed"), F.bool_or(c("phase") == "abort").alias("aborted"), F.count("*").alias("records"))
 
 
-@query("first_seen_order", f"WITH {R}, f AS (SELECT txn_id, min(seq) AS first_seq FROM r GROUP BY txn_id) SELECT *, row_number() OVER (ORDER BY first_seq) AS place FROM f QUALIFY place <= 50")
+@query("first_seen_order", f"WITH {R}, f AS (SELECT txn_id, min(seq) AS first_seq FROM r GROUP BY txn_id) SELECT *, row_number() OVER (ORDER BY first_seq) AS place FROM f")
 def _(t):
-    first = roles.records(t).groupBy("txn_id").agg(F.min("seq").alias("first_seq")).orderBy("first_seq").limit(50)  # the head of the list
-    return first.withColumn("place", F.row_number().over(Window.orderBy("first_seq")).cast("long"))
+    return order.placed(roles.records(t).groupBy("txn_id").agg(F.min("seq").alias("first_seq")), "first_seq")
 
 
 @query("transition_elapsed", "SELECT event_id, user_id, date_diff('microsecond', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) AS elapsed_us FROM events")
@@ -191,9 +190,10 @@ def _(t):
     return journal.newest(t.events, "user_id", "event_id", 100)
 
 
-@query("job_queue", f"WITH {J} SELECT id, tar_size FROM j WHERE state = 'staging' ORDER BY tar_size DESC, created_at, id LIMIT 200")
+@query("job_queue", f"WITH {J} SELECT id, tar_size, row_number() OVER (ORDER BY tar_size DESC, created_at, id) AS place FROM j WHERE state = 'staging'")
 def _(t):
-    return roles.jobs(t).where("state = 'staging'").orderBy(F.desc("tar_size"), "created_at", "id").limit(200).select("id", "tar_size")
+    queued = roles.jobs(t).where("state = 'staging'").select("id", "tar_size", "created_at")
+    return order.placed(queued, F.desc("tar_size"), "created_at", "id").drop("created_at")
 
 
 @query("priority_pop", f"WITH {J} SELECT repo, arg_max(id, (tar_size, -id)) AS id FROM j WHERE state <> 'leased' GROUP BY repo")

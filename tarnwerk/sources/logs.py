@@ -27,12 +27,12 @@ def read_journal(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_txn_log(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a transaction log; a torn last line is dropped, a bad line elsewhere is an error."""
+    """Records of a transaction log; a torn tail (a bad last line without a line feed) is dropped, any other bad line is
+    an error."""
     rows = lines(spark, path).where("value <> ''").withColumn("r", F.from_json("value", TXN))
     bad = F.coalesce(F.col("r.txn_id").isNull() | F.col("r.phase").isNull(), F.lit(True))
-    last = rows.groupBy("file").agg(F.max("line_no").alias("_last"))
-    kept = rows.join(last, "file").where(~(bad & (F.col("line_no") == F.col("_last"))))
     checked = F.when(bad, F.raise_error(F.concat(F.lit("bad record in line "), F.col("line_no").cast("string")))).otherwise(F.col("r"))
+    kept = rows.where(~bad | F.col("ended"))
     return kept.select("file", F.col("line_no").cast("long").alias("seq"), checked.alias("r")).select("file", "seq", "r.*")
 
 

@@ -30,7 +30,7 @@ def test_paths(spark):
     assert values(spark, [(t, "") for t in ("v1.0.0", "", "a" * 255, "tag name", "v1/0/0", "a" * 256)], paths.valid_tag(F.col("a"))) == [True] * 3 + [False] * 3
     assert values(spark, [(s, "") for s in ("ok", "", "a/b", "a+", "#", "a\0b")], paths.valid_topic_segment(F.col("a"))) == [True] + [False] * 5
     assert values(spark, [(s, "") for s in ("exp/24", "/x/", "", "/")], paths.lease_path(F.col("a"))) == ["/exp/24", "/x", "", ""]
-    assert values(spark, [("00aabb", ""), ("ab", "")], paths.object_path(F.col("a"))) == ["data/00/aabb", "data/00/ab"]
+    assert values(spark, [("00aabb", ""), ("ab", ""), ("a", "")], paths.object_path(F.col("a"))) == ["data/00/aabb", "data/ab/", "data/00/a"]
 
 
 def test_keys_and_bits(spark):
@@ -189,3 +189,29 @@ def test_quorum(spark):
     got = {r.txn: (r.acks, r.reached_at) for r in distribution.quorum_reached(acks, replicas, 2).collect()}
     assert got == {"x": (2, t[3]), "y": (1, None)}
     assert all(r.reached_at is None for r in distribution.quorum_reached(acks, replicas, 0).collect())
+
+
+def test_names_with_a_line_feed_at_the_end_are_refused(spark):
+    rows = [("abc", ""), ("abc\n", "")]
+    for check in (paths.valid_object_name, paths.valid_repo_name, paths.valid_tag):
+        assert values(spark, rows, check(F.col("a"))) == [True, False]
+
+
+def test_a_bad_line_that_ended_is_an_error(spark, tmp_path):
+    (tmp_path / "t3").write_text('{"txn_id": "1", "phase": "prepare"}\n{torn\n')
+    with pytest.raises(Exception, match="bad record"):
+        logs.read_txn_log(spark, str(tmp_path / "t3")).collect()
+
+
+def test_an_empty_scope_asks_for_none():
+    token = codecs.sign_token({"exp": 100, "scope": "read"}, b"k")
+    assert codecs.check_token(token, b"k", 50, "")["scope"] == "read"
+
+
+def test_places_over_a_whole_table(spark):
+    from tarnwerk.operators import order
+
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("x"), F.lit("clash").alias("part")).repartition(7)
+    got = {r.x: r.place for r in order.placed(df, F.desc("x")).collect()}
+    assert got == {x: 5000 - x for x in range(5000)}
+    assert order.placed(df.limit(0), "x").collect() == []
