@@ -1,8 +1,9 @@
 """Language identification, words first: a known word counts with its log frequency by language; an unseen word with
 that of its longest known character n-grams, shorter and shorter ones in turn.
 
-The model is fitted on a bounded, hashed sample of labelled rows and has a bounded number of words and n-grams, so it
-can be sent to every executor. Prediction reads whole texts and nothing but texts.
+The model is fitted on a bounded, hashed sample of labelled rows and knows every language, and all words and n-grams
+that the sample holds at least twice; the bound of the sample bounds the model, which is sent to every executor.
+Prediction reads whole texts and nothing but texts.
 """
 
 from __future__ import annotations
@@ -13,13 +14,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows a language to fit on, about (a row is taken by the hash of its id), and languages at most.
-ROWS_A_LANGUAGE, LANGUAGES = 4000, 1000
-#: Entries of the model: words, and n-grams of each length, the most frequent ones.
-WORDS, GRAMS = 60_000, 20_000
+#: Labelled rows a language to fit on, about (a row is taken by the hash of its id).
+ROWS_A_LANGUAGE = 4000
+#: A word or n-gram seen less often says nothing reliable; the shorter n-grams stand in.
+LEAST_SEEN = 2
 LENGTHS = (5, 4, 3, 2, 1)
 #: What a step down the lengths takes off the weight of an unseen word.
 BACKOFF = 0.7
@@ -97,14 +99,14 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "
     """A model of the rows that aren't held out and have a language and a text; empty if there are none."""
     all_rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"), held_out(id_col).alias("out"))
     labelled = all_rows.where("not out and lang is not null and text is not null").select("id", "text", "lang")
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = labelled.groupBy("lang").count().collect()  # a row a language
     if not sizes:
         return Model([], np.zeros(0), {}, {n: {} for n in LENGTHS})
     langs = sorted(r.lang for r in sizes)
     of = {r.lang: r["count"] for r in sizes}
     share = F.element_at(F.create_map(*[F.lit(x) for name in langs for x in (name, min(1.0, rows / of[name]))]), F.col("lang"))
     drawn = F.pmod(F.xxhash64(F.coalesce("id", F.xxhash64("text"))), F.lit(1_000_000)) < share * 1_000_000
-    sample = labelled.where(F.col("lang").isin(langs)).where(drawn)
+    sample = labelled.where(drawn)
 
     def count(batches):
         for b in batches:
@@ -122,21 +124,21 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))] + [pa.array(list(out.values()), pa.int64())], ["lang", "n", "gram", "c"])
 
     counted = sample.select("text", "lang").mapInArrow(count, "lang string, n int, gram string, c long").groupBy("n", "gram", "lang").agg(F.sum("c").alias("c"))
-    per_gram = counted.groupBy("n", "gram").agg(F.sum("c").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by"))  # an entry a language
-    rank = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("total"), "gram"))
-    top = per_gram.withColumn("r", rank).where(F.col("r") <= F.when(F.col("n") == 0, WORDS).otherwise(GRAMS)).collect()  # bounded by WORDS and GRAMS
-    at = {name: k for k, name in enumerate(langs)}
+    per_gram = counted.groupBy("n", "gram").agg(F.sum("c").alias("total"), F.collect_list(F.struct("lang", "c")).alias("by"))  # an entry a language
+    seen = per_gram.where(F.col("total") >= LEAST_SEEN).select("n", "gram", F.col("by.lang").alias("lang"), F.col("by.c").alias("c")).toArrow()  # of the bounded sample
+    at = pa.array(langs)
     model = Model(langs, np.log(np.array([of[x] for x in langs]) / sum(of.values())), {}, {n: {} for n in LENGTHS})
     for n in (0, *LENGTHS):
-        mine = [r for r in top if r.n == n]
+        mine = seen.filter(pc.equal(seen["n"], n)).combine_chunks()
         c = np.full((len(mine), len(langs)), 0.5)
-        for k, r in enumerate(mine):
-            for name, x in r.by.items():
-                c[k, at[name]] += x
+        if len(mine):
+            row = pc.list_parent_indices(mine["lang"]).to_numpy()
+            column = pc.index_in(pc.list_flatten(mine["lang"]), at).to_numpy()
+            np.add.at(c, (row, column), pc.list_flatten(mine["c"]).to_numpy())
         logs = np.log(c / c.sum(axis=0))
         logs -= logs.mean(axis=1, keepdims=True)  # only differences between languages matter
         table = model.words if n == 0 else model.grams[n]
-        table.update(zip((r.gram for r in mine), logs))
+        table.update(zip(mine["gram"].to_pylist(), logs.astype(np.float32)))
     return model
 
 
@@ -168,7 +170,11 @@ def identify(docs: DataFrame, model: Model, text: str = "text", id_col: str = "d
 
 
 def keep_identified(docs: DataFrame, model: Model, text: str = "text", min_score: float = 0.3) -> DataFrame:
-    """``docs`` without the rows whose text has no language (`und`) or one with a score below ``min_score``."""
+    """``docs`` without the rows whose text has no language (`und`) or one with a score below ``min_score``.
+
+    Defined cases: null and empty texts and texts without a letter go; a null id changes nothing; repeated rows stay or
+    go together; other columns pass unchanged, whatever their names; an empty table gives an empty result.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
