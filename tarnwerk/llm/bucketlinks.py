@@ -18,11 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwerk.llm.common import cut, join_hot, release
-from tarnwerk.llm.components import contracted
+from tarnwerk.llm.components import connected_components
 
 #: The share of the values that must agree before texts are compared. At similarity 0.8 it is 0.82 on average, at 0.1
-#: in one shared bucket 0.3. In simulation it costs under 1 in 100 pairs at 0.8 with 20 shingles, none with 80.
-NEAR, PLANES = 0.55, 3
+#: in one shared bucket 0.3. In simulation it costs 2 in 100 pairs right at 0.8 with 20 shingles, none with 80.
+NEAR, PLANES = 0.58, 3
 PLANE_NAMES = [f"s{p}" for p in range(PLANES)]
 #: Members of a tile, and the most it weighs unless one member weighs more; two tiles that must meet are one row.
 TILE, TILE_WEIGHT = 256, 1 << 18
@@ -135,7 +135,7 @@ def linked(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold
     pivots = rows.groupBy("bk").agg(best).select("bk", F.col("b.k").alias("p"), *[F.col(f"b.{s}").alias(f"p{s}") for s in PLANE_NAMES])
     near = _near(F.col, lambda s: F.col(f"p{s}"), kind.values)
     met = cut(join_hot(rows, pivots, "bk").where((F.col("n") > 2) | near).select("bk", "n", "k", "p", near.alias("main"), *PLANE_NAMES))
-    del members, central, rows, pivots
+    del signed, members, central, rows, pivots
     release(spark)
 
     pairs = cut(met.where("main and k <> p").select("k", "p").distinct())
@@ -143,13 +143,16 @@ def linked(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold
     texts = cut(fetch(pairs.select("k").unionByName(pairs.select(F.col("p").alias("k"))).unionByName(more.select("k")).distinct()))
     release(spark)
 
-    edges = cut(contracted(_verified(pairs, texts, threshold, kind), "k", "p"))
-    comps = edges.unionByName(edges.select(F.col("p").alias("k"), "p")).groupBy("k").agg(F.min("p").alias("c"))
+    known = connected_components(_verified(pairs, texts, threshold, kind), "k", "p")
+    release(spark)
+    comps = known.select(F.col("node").alias("k"), F.col("component").alias("c"))
     state = join_hot(more, comps, "k", "left").withColumn("c", F.coalesce("c", "k"))
     state = join_hot(state, comps.select(F.col("k").alias("p"), F.col("c").alias("d")), "p", "left")
     state = cut(state.select("bk", "k", "c", (F.col("c") == F.coalesce("d", "p")).alias("main"), *PLANE_NAMES))
+    del met, more, pairs
     release(spark)
-    rows = state.join(_marked(state, kind), ["bk", "k"])
-    found = cut(_joined(rows, texts, threshold, kind))
+    rows = cut(state.join(_marked(state, kind), ["bk", "k"]))
+    del state
     release(spark)
-    return edges.unionByName(found)
+    found = cut(_joined(rows, texts, threshold, kind))
+    return known.where("node <> component").select(F.col("node").alias("k"), F.col("component").alias("p")).unionByName(found)

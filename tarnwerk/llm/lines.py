@@ -87,7 +87,8 @@ def signatures(docs: DataFrame, text: str, id_col: str) -> DataFrame:
 def line_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = 0.8) -> DataFrame:
     """(k, component) for the keys of lines that occur more than once or are similar to another line; component is the
     smallest key of the class."""
-    signed = cut(signatures(docs, text, id_col))
+    held = [cut(signatures(docs, text, id_col))]
+    again = cut(held[0].where("again").select("k"))
     release(docs.sparkSession)
 
     def fetch(keys: DataFrame) -> DataFrame:
@@ -95,8 +96,7 @@ def line_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         found = rows.join(keys.withColumnRenamed("k", "w"), F.col("k") == F.col("w"), "left_semi")
         return found.groupBy("k").agg(F.min("line").alias("line"))
 
-    comps = connected_components(linked(signed, fetch, threshold, Kind(BANDS * BAND_ROWS, shingle_set, F.length)), "k", "p")
-    again = signed.where("again").select("k")
+    comps = connected_components(linked(held.pop(), fetch, threshold, Kind(BANDS * BAND_ROWS, shingle_set, F.length)), "k", "p")
     known = comps.select(F.col("node").alias("k"), "component")
     alone = again.join(known.select(F.col("k").alias("o")), F.col("k") == F.col("o"), "left_anti").select("k", F.col("k").alias("component"))
     return cut(known.unionByName(alone))
