@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwerk.llm.common import cut, join_hot, release
-from tarnwerk.llm.components import connected_components
+from tarnwerk.llm.components import contracted
 
 #: The share of the values that must agree before texts are compared. At similarity 0.8 it is 0.82 on average, at 0.1
 #: in one shared bucket 0.3. In simulation it costs 2 in 100 pairs right at 0.8 with 20 shingles, none with 80.
@@ -143,9 +143,9 @@ def linked(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold
     texts = cut(fetch(pairs.select("k").unionByName(pairs.select(F.col("p").alias("k"))).unionByName(more.select("k")).distinct()))
     release(spark)
 
-    known = connected_components(_verified(pairs, texts, threshold, kind), "k", "p")
+    known = contracted(_verified(pairs, texts, threshold, kind), "k", "p")
     release(spark)
-    comps = known.select(F.col("node").alias("k"), F.col("component").alias("c"))
+    comps = known.unionByName(known.select(F.col("p").alias("k"), "p")).groupBy("k").agg(F.min("p").alias("c"))
     state = join_hot(more, comps, "k", "left").withColumn("c", F.coalesce("c", "k"))
     state = join_hot(state, comps.select(F.col("k").alias("p"), F.col("c").alias("d")), "p", "left")
     state = cut(state.select("bk", "k", "c", (F.col("c") == F.coalesce("d", "p")).alias("main"), *PLANE_NAMES))
@@ -155,4 +155,4 @@ def linked(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold
     del state
     release(spark)
     found = cut(_joined(rows, texts, threshold, kind))
-    return known.where("node <> component").select(F.col("node").alias("k"), F.col("component").alias("p")).unionByName(found)
+    return known.unionByName(found)

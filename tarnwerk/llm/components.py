@@ -35,6 +35,14 @@ def _plain(edges: DataFrame, a: str, b: str) -> DataFrame:
     return edges.select(*ends).where("x and y and u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")).distinct()
 
 
+def contracted(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 2) -> DataFrame:
+    """Edges (a, b), a > b, with the components of ``edges`` after so many rounds: most are stars by then."""
+    e = cut(_plain(edges, a, b))
+    for _ in range(rounds):
+        e = cut(_small_star(_large_star(e)))
+    return e.select(F.col("u").alias(a), F.col("v").alias(b))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node on an edge that joins two different nodes; component is the smallest node.
 
