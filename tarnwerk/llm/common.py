@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import tempfile
-import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,19 +24,30 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Spark's own setting that removes a query's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there; a lost executor costs a reread, not a recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and go on from there; a lost executor costs a reread, not a recomputation. The
+    shuffle files on the way are removed as soon as it is written."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a new query, for a query takes the setting when it is made
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the files of plans that nothing refers to any more (after a cut). What the first pass
-    lets go is only seen by the second."""
-    for pause in (0.3, 0):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(pause)
+    """Let Spark's cleaner drop the checkpoints that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def far_key(c: Column) -> Column:
