@@ -4,6 +4,9 @@ Equal vectors are one node with a weight. A table gives each vector the signs of
 as a bucket; vectors that share a bucket in some table are compared exactly, a pair in the first table only in which
 the two meet, so that links can be counted without gathering pairs. A large bucket is dealt out as pairs of tiles, so
 no task holds more than two tiles. A task returns link counts and a spanning forest, never pairs.
+
+A vector travels once a table, with its signs in the tables before and nothing else. Bits and tables grow with the
+number of vectors, so that buckets don't.
 """
 
 from __future__ import annotations
@@ -27,9 +30,9 @@ BLOCK, PAIRS = 512, 1 << 17
 
 
 def shape(n: int, threshold: float, recall: float) -> tuple[int, int]:
-    """(bits, tables): buckets of about 64 unrelated vectors, and as many tables as give a pair right at the threshold
-    the chance ``recall`` to meet."""
-    bits = min(16, max(4, round(math.log2(max(n, 2))) - 6))
+    """(bits, tables): buckets of about 256 unrelated vectors, and as many tables as give a pair right at the threshold
+    the chance ``recall`` to meet. Comparing with 256 costs about as much as sending a vector to one more table."""
+    bits = max(4, round(math.log2(max(n, 2))) - 8)
     meet = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet))) if meet < 1 else 1
 
@@ -43,7 +46,10 @@ def usable(v, i):
 def matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     """Vectors stored as bytes of float32 or float64, scaled to length 1 in double precision."""
     raw = column.to_pylist()
-    x = np.stack([np.frombuffer(r, np.float32 if len(r) == 4 * dim else np.float64).astype(np.float64) for r in raw])
+    if all(len(r) == 4 * dim for r in raw):
+        x = np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), dim).astype(np.float64)
+    else:
+        x = np.stack([np.frombuffer(r, np.float32 if len(r) == 4 * dim else np.float64).astype(np.float64) for r in raw])
     x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -61,6 +67,7 @@ def near_duplicates(vectors: DataFrame, vec: str = "embedding", id_col: str = "v
     rows = rows.withColumn("v", F.when(usable(F.col("v"), F.col("id")), F.col("v")))
     nodes = cut(rows.where("v is not null").groupBy("v").agg(F.min("id").alias("low"), F.count("*").alias("w")).withColumn("node", F.monotonically_increasing_id()))
     bits, tables = shape(nodes.count(), threshold, recall)
+    mark = np.dtype(np.uint16 if bits <= 16 else np.uint32 if bits <= 32 else np.uint64)
 
     def sign(batches):
         planes: dict[int, np.ndarray] = {}
@@ -73,27 +80,31 @@ def near_duplicates(vectors: DataFrame, vec: str = "embedding", id_col: str = "v
                 d = len(v)
                 if d not in planes:
                     planes[d] = np.random.default_rng([seed, d]).standard_normal((d, tables * bits))
-                key = ((v / np.abs(v).max()) @ planes[d] > 0).reshape(tables, bits) @ power | d << 20
+                signs = ((v / np.abs(v).max()) @ planes[d] > 0).reshape(tables, bits) @ power
                 single = v.astype(np.float32) if np.abs(v).max() < 1e38 else np.zeros(0)
-                out.append((key, (single if len(single) == d and (single == v).all() else v).tobytes(), d))
+                out.append((signs, (single if len(single) == d and (single == v).all() else v).tobytes(), d))
             keys = pa.array([x[0] for x in out], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[2] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), keys], ["node", "w", "dim", "x", "keys"])
-
-    signed = cut(nodes.select("node", "w", "v").mapInArrow(sign, "node long, w long, dim int, x binary, keys array<long>"))
-    big = signed.select(F.posexplode("keys").alias("t", "key")).groupBy("t", "key").count().where(F.col("count") > TILE)
-    big = big.select("t", "key", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
-    dealt = signed.select("*", F.posexplode("keys").alias("t", "key")).join(big, ["t", "key"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+            marks = pa.array([x[0].astype(mark).tobytes() for x in out], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[2] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), keys, marks], ["node", "w", "dim", "x", "keys", "marks"])
+
+    signed = cut(nodes.select("node", "w", "v").mapInArrow(sign, "node long, w long, dim int, x binary, keys array<long>, marks binary"))
+    slim = signed.select("node", "dim", F.posexplode("keys").alias("t", "key"))
+    big = slim.groupBy("t", "key", "dim").count().where(F.col("count") > TILE)
+    big = big.select("t", "key", "dim", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
+    over = slim.join(big, ["t", "key", "dim"]).groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("t", "tiles"))).alias("over"))  # an entry a table
+    dealt = signed.join(over, "node", "left").select("*", F.posexplode("keys").alias("t", "key"))
+    dealt = dealt.withColumn("tiles", F.coalesce(F.try_element_at("over", F.col("t")), F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("t", "key", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), (F.col("own") > F.col("o")).alias("side"), "node", "w", "dim", "x", "keys")
+    before = F.substring("marks", F.lit(1), F.col("t") * mark.itemsize).alias("before")
+    dealt = dealt.select("t", "key", "dim", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), (F.col("own") > F.col("o")).alias("side"), "node", "w", "x", before)
 
     def compare(key, table):
         if table.num_rows < 2:
             return None
-        t, _, i, j = key
-        dim = table.column("dim")[0].as_py()
+        t, _, dim, i, j = key
         node, w, side = (table.column(c).to_numpy() for c in ("node", "w", "side"))
-        keys = np.stack([np.asarray(x) for x in table.column("keys").to_numpy()])[:, :t]
+        keys = np.frombuffer(b"".join(table.column("before").to_pylist()), mark).reshape(len(node), t) if t else np.zeros((len(node), 0), mark)
         x = matrix(table.column("x"), dim)
         a = np.arange(len(node)) if i == j else np.flatnonzero(~side.astype(bool))
         b = a if i == j else np.flatnonzero(side.astype(bool))
@@ -112,7 +123,7 @@ def near_duplicates(vectors: DataFrame, vec: str = "embedding", id_col: str = "v
         some = np.flatnonzero(links)
         return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(links[some]), pa.array(node[forest.find(some)])], ["node", "links", "root"])
 
-    found = cut(map_groups(dealt, ["t", "key", "i", "j"], compare, "node long, links long, root long"))
+    found = cut(map_groups(dealt, ["t", "key", "dim", "i", "j"], compare, "node long, links long, root long"))
     reach = cut(connected_components(found.select("node", "root"), "node", "root").join(nodes.select("node", "low"), "node"))
     lows = reach.groupBy("component").agg(F.min("low").alias("reach"))
     reach = reach.select("node", F.col("component").alias("k")).join(lows.withColumnRenamed("component", "k"), "k").select("node", "reach")
