@@ -7,7 +7,8 @@ below the query's k-th score.
 
 Spread: blocks travel as rows of SUPER blocks, queries as rows of up to QUERIES queries; every such row of queries meets
 every row of blocks (the stated query set against all rows, in blocks). A first pass over one row of blocks a query
-gives each query a floor for its k-th score, which later tasks prune with.
+gives each query a floor for its k-th score. The bounds of whole rows of blocks are held against the floors before any
+block travels: only the queries that a row of blocks can still improve are sent to it.
 """
 
 from __future__ import annotations
@@ -46,6 +47,12 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(a.astype(object) @ b.astype(object).T, LOW, -LOW).astype(np.int64)
 
 
+def bounds(q: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The highest score that a query (row) can reach in a block (column); endless where a part of it saturates."""
+    a, b = product(np.maximum(q, 0), high), product(np.minimum(q, 0), low)
+    return np.where((a >= -LOW) | (b >= -LOW), np.iinfo(np.int64).max, a + np.minimum(b, -LOW - 1))
+
+
 def best(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Positions of each query's k best: highest score, then smallest id; a pair of query and id once."""
     order = np.lexsort((ids, -scores, q))
@@ -60,7 +67,7 @@ def best(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarr
 def search(qids: np.ndarray, q: np.ndarray, floor: np.ndarray, ids: np.ndarray, w: np.ndarray, high: np.ndarray, low: np.ndarray, k: int, size: int = BLOCK):
     """(query positions, ids, scores): the k best of each query among the documents of one row of blocks, those below
     the query's floor left out. Returns also how many blocks were scored, over all queries."""
-    bound = product(np.maximum(q, 0), high) + product(np.minimum(q, 0), low)
+    bound = bounds(q, high, low)
     order = np.argsort(-bound, axis=1, kind="stable")
     kth, scored = floor.copy(), 0
     found = [np.zeros(0, np.int64)] * 3
@@ -129,7 +136,7 @@ def top_k(vectors: DataFrame, vec: str = "embedding", id_col: str = "vec_id", ev
             w = np.frombuffer(b"".join(raw), np.int64).reshape(len(ids), dim)
             cuts = np.arange(0, len(ids), BLOCK)
             high, low = np.maximum.reduceat(w, cuts), np.minimum.reduceat(w, cuts)
-            yield pa.RecordBatch.from_pylist([{"n": len(ids), "ids": np.array(ids, np.int64).tobytes(), "w": packed(w), "high": packed(high), "low": packed(low)}])
+            yield pa.RecordBatch.from_pylist([{"n": len(ids), "ids": np.array(ids, np.int64).tobytes(), "w": packed(w), "high": packed(high), "low": packed(low), "top": packed(high.max(axis=0)), "bottom": packed(low.min(axis=0))}])
 
     def ask(batches):
         for ids, raw in gathered(batches, QUERIES):
@@ -138,7 +145,7 @@ def top_k(vectors: DataFrame, vec: str = "embedding", id_col: str = "vec_id", ev
 
     n = weighed.count()
     parts = max(1, -(-n // (BLOCK * SUPER)))
-    blocks = weighed.repartitionByRange(parts, "key", "id").sortWithinPartitions("key", "id").mapInArrow(index, "n long, ids binary, w binary, high binary, low binary")
+    blocks = weighed.repartitionByRange(parts, "key", "id").sortWithinPartitions("key", "id").mapInArrow(index, "n long, ids binary, w binary, high binary, low binary, top binary, bottom binary")
     blocks = cut(blocks.withColumn("m", F.monotonically_increasing_id()))
     blocks = _numbered(blocks, "m", "sb")
     queries = weighed.where(F.col("id") % every == 0)
@@ -161,6 +168,15 @@ def top_k(vectors: DataFrame, vec: str = "embedding", id_col: str = "vec_id", ev
                 _, (_, _, _, kth, _) = run(b, row, None)
                 yield pa.RecordBatch.from_arrays([b.column("qn")[row : row + 1], b.column("qids")[row : row + 1], b.column("qw")[row : row + 1], pa.array([kth.tobytes()], pa.binary())], ["qn", "qids", "qw", "floor"])
 
+    def sift(batches):
+        for b in batches:
+            for row in range(b.num_rows):
+                g = lambda c: b.column(c)[row].as_py()
+                qids, floor, q = np.frombuffer(g("qids"), np.int64), np.frombuffer(g("floor"), np.int64), unpacked(g("qw"), g("qn"), dim)
+                live = np.flatnonzero(bounds(q, unpacked(g("top"), 1, dim), unpacked(g("bottom"), 1, dim))[:, 0] >= floor)
+                if len(live):
+                    yield pa.RecordBatch.from_pylist([{"sb": g("sb"), "qn": len(live), "qids": qids[live].tobytes(), "qw": packed(q[live]), "floor": floor[live].tobytes()}])
+
     def rest(batches):
         for b in batches:
             for row in range(b.num_rows):
@@ -170,7 +186,9 @@ def top_k(vectors: DataFrame, vec: str = "embedding", id_col: str = "vec_id", ev
     if not supers:
         return rows.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias(id_col), F.lit(0).cast("long").alias("score")).limit(0)
     seeded = queries.withColumn("sb", F.pmod("qb", F.lit(supers))).join(blocks, "sb").mapInArrow(first, "qn long, qids binary, qw binary, floor binary")
-    pairs = cut(seeded).withColumn("sb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(supers - 1).cast("long")))).join(blocks, "sb")
+    tops = blocks.select("sb", "top", "bottom")
+    pairs = cut(seeded).withColumn("sb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(supers - 1).cast("long")))).join(tops, "sb")
+    pairs = pairs.mapInArrow(sift, "sb long, qn long, qids binary, qw binary, floor binary").join(blocks.drop("top", "bottom"), "sb")
     hits = pairs.mapInArrow(rest, "query_id long, id long, score long").groupBy("query_id", "id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
