@@ -79,6 +79,21 @@ def segment_between(p: Column, before: str, after: str) -> Column:
     return F.when((segment != "") & ~segment.contains("/"), segment)
 
 
+def clean(p: Column) -> Column:
+    """An absolute path without empty, `.` and `..` steps; `..` of the root is the root."""
+    step = lambda a, s: F.when(s.isin("", "."), a).when(s == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(s)))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), step), "/"))
+
+
+def staging_path(root: str, p: Column, cwd: str = "/") -> Column:
+    """The absolute form of ``p`` (relative ones start at ``cwd``), null unless it is ``root`` or below it; a name right
+    below the root that starts with two dots is refused as well. Purely lexical: nothing is looked up."""
+    here = clean(F.lit(root))
+    full = clean(F.when(p.startswith("/"), p).otherwise(F.concat(F.lit(cwd + "/"), p)))
+    below = F.concat(F.rtrim(here, F.lit("/")), F.lit("/"))
+    return F.when((full == here) | (full.startswith(below) & ~full.startswith(F.concat(below, F.lit("..")))), full)
+
+
 def safe_file_name(s: Column) -> Column:
     return F.regexp_replace(s, "[^A-Za-z0-9._-]", "_")
 

@@ -9,19 +9,22 @@ from pyspark.sql import functions as F
 
 from tarnwerk.functions import bits, paths
 from tarnwerk.operators import catalog
-from tarnwerk.schemas import COUNTERS, PROPERTIES, STATISTICS
+from tarnwerk.schemas import CHUNKS, COUNTERS, NESTED, PROPERTIES, STATISTICS
 
 #: The schema that catalogs declare.
 SCHEMA, REVISION = "2.5", "7"
 
 
-def new_catalog(spark: SparkSession, path: str = "", ttl: int = 240) -> dict[str, DataFrame]:
+def new_catalog(spark: SparkSession, path: str = "", ttl: int = 240, at: int = 0) -> dict[str, DataFrame]:
     """The tables of an empty catalog: its root directory, zero counters, properties."""
     root = spark.range(1).select(F.lit(path).alias("path"), F.lit("dir").alias("type"), F.lit(4096).cast("long").alias("size"), F.lit(0o755).alias("perm"), F.lit(0).alias("n_chunks"), F.lit(None).cast("string").alias("hash"))
     counters = [(path, f"{kind}_{c}", 1 if (kind, c) == ("self", "dir") else 0) for kind in ("self", "subtree") for c in COUNTERS]
-    properties = [(path, "schema", SCHEMA), (path, "schema_revision", REVISION), (path, "root_prefix", path), (path, "revision", "0"), (path, "TTL", str(ttl))]
+    properties = [(path, "schema", SCHEMA), (path, "schema_revision", REVISION), (path, "root_prefix", path), (path, "revision", "0"), (path, "TTL", str(ttl)), (path, "last_modified", str(at))]
     return {
         "catalog": catalog.catalog_rows(root).withColumn("catalog_path", F.lit(path)),
+        "chunks": spark.createDataFrame([], CHUNKS),
+        "nested_catalogs": spark.createDataFrame([], NESTED),
+        "bind_mountpoints": spark.createDataFrame([], NESTED),
         "statistics": spark.createDataFrame(counters, STATISTICS),
         "properties": spark.createDataFrame(properties, PROPERTIES),
     }

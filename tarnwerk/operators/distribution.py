@@ -64,37 +64,40 @@ def error_class(explicit: Column, network: Column) -> Column:
     return F.coalesce(explicit, F.when(network, "transient").otherwise("internal"))
 
 
+def in_order(rows: DataFrame, order: str, start, step, schema: str, out: str) -> DataFrame:
+    """``rows`` with the column ``out`` = step(state, row), followed in one order with one state. The order couples all
+    rows, so one task follows it, batch by batch after an external sort: it holds a batch and the state."""
+
+    def run(batches):
+        state = start()
+        for pdf in batches:
+            pdf[out] = [step(state, r) for r in pdf.itertuples(index=False)]
+            yield pdf
+
+    return rows.repartition(1).sortWithinPartitions(order).mapInPandas(run, schema)
+
+
 def admissions(requests: DataFrame, total: int, per_node: int, ttl_s: float) -> DataFrame:
     """``requests`` (seq, node, at double seconds, kind 'acquire', 'renew' or 'release', lease) with granted.
 
-    One global cap couples all nodes, so the order is followed in one group, in bounded state: the leases that are
+    One global cap couples all nodes, so the order is followed in one task, in bounded state: the leases that are
     held. A lease expires once strictly more than ``ttl_s`` has passed.
     """
     from tarnwerk.streaming.state import Leases
 
-    def run(pdf):
-        held = Leases(total, per_node, ttl_s)
-        pdf = pdf.sort_values("seq")
-        pdf["granted"] = [held.step(k, n, lease, t) for k, n, lease, t in zip(pdf["kind"], pdf["node"], pdf["lease"], pdf["at"])]
-        return pdf[["seq", "node", "at", "kind", "lease", "granted"]]
-
-    rows = requests.select("seq", "node", "at", "kind", "lease", F.lit(1).alias("_g"))
-    return rows.groupBy("_g").applyInPandas(lambda pdf: run(pdf.drop(columns="_g")), "seq long, node string, at double, kind string, lease string, granted boolean")
+    rows = requests.select("seq", "node", "at", "kind", "lease")
+    step = lambda held, r: held.step(r.kind, r.node, r.lease, r.at)
+    return in_order(rows, "seq", lambda: Leases(total, per_node, ttl_s), step, "seq long, node string, at double, kind string, lease string, granted boolean", "granted")
 
 
 def rate_limited(requests: DataFrame, rate: float, burst: float, global_rate: float, global_burst: float, most: int = 1 << 20) -> DataFrame:
     """``requests`` (seq, ip, at double seconds) with allowed, by a bucket an address behind one for all. The global
-    bucket couples all addresses: one group, whose state is the buckets."""
+    bucket couples all addresses: one task, whose state is the buckets."""
     from tarnwerk.streaming.state import Buckets
 
-    def run(pdf):
-        buckets = Buckets(rate, burst, global_rate, global_burst, most)
-        pdf = pdf.sort_values("seq")
-        pdf["allowed"] = [buckets.allow(ip, t) for ip, t in zip(pdf["ip"], pdf["at"])]
-        return pdf[["seq", "ip", "at", "allowed"]]
-
-    rows = requests.select("seq", "ip", "at", F.lit(1).alias("_g"))
-    return rows.groupBy("_g").applyInPandas(lambda pdf: run(pdf.drop(columns="_g")), "seq long, ip string, at double, allowed boolean")
+    rows = requests.select("seq", "ip", "at")
+    step = lambda buckets, r: buckets.allow(r.ip, r.at)
+    return in_order(rows, "seq", lambda: Buckets(rate, burst, global_rate, global_burst, most), step, "seq long, ip string, at double, allowed boolean", "allowed")
 
 
 def compare_transfers(rows: DataFrame, floor: float = 1.5) -> DataFrame:

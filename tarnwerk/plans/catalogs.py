@@ -171,8 +171,9 @@ def _(t):
 SELF = """coalesce(sum((type = 'reg')::INT), 0)::BIGINT AS self_regular, sum((type = 'dir')::INT)::BIGINT AS self_dir,
   sum((type = 'reg' AND NOT external AND n_chunks > 0)::INT)::BIGINT AS self_chunked, sum(CASE WHEN type = 'reg' AND NOT external THEN n_chunks ELSE 0 END)::BIGINT AS self_chunks,
   sum(CASE WHEN type = 'reg' AND NOT external AND n_chunks = 0 THEN size ELSE 0 END)::BIGINT AS self_file_size, sum(CASE WHEN type = 'reg' AND NOT external AND n_chunks > 0 THEN size ELSE 0 END)::BIGINT AS self_chunked_size,
-  sum((n_xattrs > 0)::INT)::BIGINT AS self_xattr, sum((type = 'reg' AND external)::INT)::BIGINT AS self_external, sum(CASE WHEN type = 'reg' AND external THEN size ELSE 0 END)::BIGINT AS self_external_file_size"""
-NAMES = ["regular", "dir", "chunked", "chunks", "file_size", "chunked_size", "xattr", "external", "external_file_size"]
+  sum((n_xattrs > 0)::INT)::BIGINT AS self_xattr, sum((type = 'reg' AND external)::INT)::BIGINT AS self_external, sum(CASE WHEN type = 'reg' AND external THEN size ELSE 0 END)::BIGINT AS self_external_file_size,
+  sum((type = 'symlink')::INT)::BIGINT AS self_symlink, sum((type NOT IN ('reg', 'dir', 'symlink'))::INT)::BIGINT AS self_special"""
+NAMES = catalog.SELF
 
 
 def _self(t):
@@ -194,10 +195,18 @@ def _(t):
     return catalog.rollup(_self(t), NAMES)
 
 
-@query("counters_kv", f"WITH x AS ({ROLLUP}) SELECT catalog_path, counter, value FROM (UNPIVOT x ON COLUMNS(* EXCLUDE catalog_path) INTO NAME counter VALUE value)")
+@query("counters_kv", f"""WITH {roles.SPLITS}, x AS ({ROLLUP}), p AS (SELECT a.path, coalesce(max(b.path), '') AS parent FROM splits a LEFT JOIN splits b ON starts_with(a.path, b.path || '/') GROUP BY a.path),
+n AS (SELECT x.catalog_path, count(p.path) AS self_nested FROM x LEFT JOIN p ON p.parent = x.catalog_path GROUP BY 1),
+m AS (SELECT a.catalog_path, any_value(a.self_nested) AS self_nested, coalesce(sum(b.self_nested), 0)::BIGINT AS subtree_nested FROM n a LEFT JOIN n b ON a.catalog_path <> b.catalog_path AND starts_with(b.catalog_path, a.catalog_path || '/') GROUP BY 1),
+y AS (SELECT * FROM x JOIN m USING (catalog_path))
+SELECT catalog_path, counter, value FROM (UNPIVOT y ON COLUMNS(* EXCLUDE catalog_path) INTO NAME counter VALUE value)""")
 def _(t):
-    rows = catalog.rollup(_self(t), NAMES)
-    return rows.unpivot(["catalog_path"], [x for x in rows.columns if x != "catalog_path"], "counter", "value")
+    from tarnwerk.operators import release
+
+    splits = roles.splits(t)
+    nested = catalog.owner(splits, splits, to="catalog_path").groupBy("catalog_path").agg(F.count("*").alias("self_nested"))
+    own = _self(t).join(nested, "catalog_path", "left").withColumn("self_nested", F.coalesce("self_nested", F.lit(0)).cast("long"))
+    return release.counters_kv(catalog.rollup(own, release.COUNTED))
 
 
 @query("counter_delta", f"WITH {roles.OWNED}, d AS (SELECT *, 1 AS s FROM owned WHERE type = 'reg' UNION ALL SELECT *, -1 FROM owned WHERE type = 'reg' AND hash[1] IN ('0', '1', '2', '3')) SELECT catalog_path, sum(s)::BIGINT AS self_regular, sum(CASE WHEN NOT external AND n_chunks = 0 THEN s * size ELSE 0 END)::BIGINT AS self_file_size, sum(CASE WHEN NOT external AND n_chunks > 0 THEN s ELSE 0 END)::BIGINT AS self_chunked FROM d GROUP BY catalog_path")

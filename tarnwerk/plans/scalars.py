@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tarnwerk.functions import bits, paths
@@ -326,6 +327,15 @@ def _(t):
     return t.orders.join(claims, c("o_custkey") == c("c_custkey"), "left").select("o_orderkey", F.coalesce("c_mktsegment", "o_orderpriority").alias("actor"))
 
 
+@query("resolve_staging_path", "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '/stage/' || source || '/' || doc_id || '.tar' WHEN 1 THEN '/stage/' || doc_id || '.tar' WHEN 2 THEN '/stage/' || doc_id END AS resolved FROM documents")
+def _(t):
+    name, k = c("doc_id").cast("string"), c("doc_id") % 6
+    text = lambda *parts: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in parts])
+    asked = F.when(k == 0, text(c("source"), "/", name, ".tar")).when(k == 1, text("/stage/x/../", name, ".tar")).when(k == 2, text("/../stage//./", name))
+    asked = asked.when(k == 3, text("../", name)).when(k == 4, text("/stage2/", name)).otherwise(text("/stage/../etc/", name))
+    return t.documents.select("doc_id", paths.staging_path("/stage", asked, "/stage").alias("resolved"))
+
+
 @query("crc_lines")
 def _(t):
     line = F.to_json(F.struct("event_id", "event_type"))

@@ -9,6 +9,7 @@ ENTRY = "archive string, seq long, path string, type string, mode int, mtime tim
 CHUNK = "path string, idx int, offset long, size long, hash string, compressed binary, comp_size long"
 CATALOG = "catalog_path string, md5path_1 long, md5path_2 long, parent_1 long, parent_2 long, hardlinks long, hash binary, size long, mode long, mtime long, mtimens long, flags long, name string, symlink string, uid long, gid long, xattr binary"
 CHUNKS = "catalog_path string, md5path_1 long, md5path_2 long, offset long, size long, hash binary"
+CHUNKS_BY_PATH = "catalog_path string, path string, idx int, offset long, size long, hash string"
 NESTED = "catalog_path string, path string, sha1 string, size long"
 STATISTICS = "catalog_path string, counter string, value long"
 PROPERTIES = "catalog_path string, key string, value string"
