@@ -400,27 +400,58 @@ def _texts(column) -> Iterator[str]:
     return ((x.decode("utf-8", "replace") if (x := v.as_py()) is not None else "") for v in column)
 
 
+#: Ids that are gathered for one Arrow batch, about.
+IDS_A_BATCH = 1 << 20
+
+
+def _beside(docs: DataFrame, text: str, out: str) -> tuple[DataFrame, list[str], str]:
+    """(columns but ``out`` by position and the text's bytes, their names, their types)."""
+    names = docs.columns
+    keep = [i for i, n in enumerate(names) if n.lower() != out.lower()]
+    plain = docs.toDF(*[f"d{i}" for i in range(len(names))])
+    source = plain.select(*[F.col(f"d{i}").alias(f"c{k}") for k, i in enumerate(keep)], F.col(f"d{names.index(text)}").cast("binary").alias("_t"))
+    return source, [names[i] for i in keep], "".join(f"c{k} {docs.dtypes[i][1]}, " for k, i in enumerate(keep))
+
+
 def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str | None = None) -> DataFrame:
     """``docs`` with the column ``out`` array<int>: the token ids of the whole text, an empty array for null.
 
-    Every other column passes unchanged. A column named ``out`` is replaced. Added tokens that occur in a text get
-    their id, as the tokenizers library does it.
+    Every other column passes unchanged. A column named ``out`` is replaced, the text's own as well. Added tokens that
+    occur in a text get their id, as the tokenizers library does it.
     """
     sent = _sent(docs.sparkSession, path)
-    rest = docs.drop(out)
-    kept = rest.columns
+    source, kept, types = _beside(docs, text, out)
+    names = [f"c{i}" for i in range(len(kept))] + ["ids"]
 
     def run(batches):
         c = codec(sent.value)
         for b in batches:
+            held: list[np.ndarray] = []
+            start = 0
             for k, ids in enumerate(c.encode(_texts(b.column(len(kept))))):
-                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(k, 1) for i in range(len(kept))), pa.array([ids.astype(np.int32)], pa.list_(pa.int32()))], names)
+                held.append(ids.astype(np.int32))
+                if k == b.num_rows - 1 or sum(map(len, held)) >= IDS_A_BATCH or len(held) >= 1024:
+                    ends = np.cumsum([0, *map(len, held)]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held)))
+                    yield pa.RecordBatch.from_arrays([*(b.column(i).slice(start, len(held)) for i in range(len(kept))), lists], names)
+                    held, start = [], k + 1
 
-    names = [f"c{i}" for i in range(len(kept))] + ["ids"]
-    types = ", ".join(f"c{i} {t}" for i, (_, t) in enumerate(rest.dtypes))
-    made = rest.toDF(*names[:-1]) if kept else rest
-    source = made.withColumn("_t", made[f"c{kept.index(text)}"].cast("binary"))
-    return source.mapInArrow(run, f"{types}, ids array<int>").toDF(*kept, out)
+    return source.mapInArrow(run, f"{types}ids array<int>").toDF(*kept, out)
+
+
+def count_tokens(docs: DataFrame, text: str = "text", out: str = "n_tokens", path: str | None = None) -> DataFrame:
+    """``docs`` with the column ``out`` long: how many token ids encode() gives the whole text, 0 for null. Every other
+    column passes unchanged; a column named ``out`` is replaced."""
+    sent = _sent(docs.sparkSession, path)
+    source, kept, types = _beside(docs, text, out)
+
+    def run(batches):
+        c = codec(sent.value)
+        for b in batches:
+            n = [len(ids) for ids in c.encode(_texts(b.column(len(kept))))]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(n, pa.int64())], [*(f"c{i}" for i in range(len(kept))), "n"])
+
+    return source.mapInArrow(run, f"{types}n long").toDF(*kept, out)
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "text", path: str | None = None) -> DataFrame:

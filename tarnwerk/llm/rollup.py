@@ -2,7 +2,8 @@
 
 A batch of changes is reduced to signed sums by source, language and tokenizer version and added to a store in the
 shared folder as one directory, which appears by a rename and is named by the batch: a batch that is there already is
-not added again, a batch that was interrupted leaves nothing. Totals are sums over batches.
+not added again, a batch that was interrupted leaves nothing. Totals are sums over batches; a snapshot holds the sums of
+the batches that it names, so that totals read it and what came after.
 """
 
 from __future__ import annotations
@@ -48,25 +49,55 @@ class Rollup:
         staged = f"_staged-{uuid4().hex}"
         signed.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.parquet(f"{self.path}/{staged}")
         done = self.fs.rename(self.at(staged), self.at(f"batch={batch}")) if not self.committed(batch) else False
-        if not done:
+        inside = self.at(f"batch={batch}", staged)
+        if self.fs.exists(inside):  # another writer was faster, and the rename went into its folder, unseen by readers
+            self.fs.delete(inside, True)
+            done = False
+        elif not done:
             self.fs.delete(self.at(staged), True)
             if not self.committed(batch):
                 raise OSError(f"batch {batch} could not be committed")
         return done
 
-    def compact(self, name: str) -> None:
-        """Write all totals as one table at ``path``-``name`` (the store itself stays as it is)."""
-        self.totals().write.parquet(f"{self.path}-{name}")
+    def _names(self, start: str) -> list[str]:
+        found = [s.getPath().getName() for s in self.fs.listStatus(self.at())] if self.fs.exists(self.at()) else []
+        return sorted(n[len(start) :] for n in found if n.startswith(start))
+
+    def _sums(self) -> tuple[DataFrame, list[str]]:
+        """(rows to be added up, the batches that they stand for): the newest snapshot and the batches after it."""
+        snapshots, batches = self._names("upto="), self._names("batch=")
+        old = f"{self.path}/upto={snapshots[-1]}" if snapshots else None
+        covered = {r.batch for r in self.spark.read.schema("batch string").parquet(f"{old}/batches").collect()} if old else set()  # a name a commit
+        paths = [f"{self.path}/batch={b}" for b in batches if b not in covered] + ([f"{old}/sums"] if old else [])
+        schema = "source string, lang string, tokenizer string, docs long, tokens long"
+        return (self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)), batches
+
+    def compact(self) -> None:
+        """Write the sums of all batches that are there as a snapshot, which appears by a rename. The batches stay, for
+        their names say what was committed."""
+        rows, batches = self._sums()
+        staged, number = f"_staged-{uuid4().hex}", len(self._names("upto="))
+        rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.parquet(f"{self.path}/{staged}/sums")
+        self.spark.createDataFrame([(b,) for b in batches], "batch string").coalesce(1).write.parquet(f"{self.path}/{staged}/batches")
+        if not self.fs.rename(self.at(staged), self.at(f"upto={number:012d}-{uuid4().hex}")):
+            raise OSError("a snapshot could not be committed")
 
     def totals(self) -> DataFrame:
         """KEYS, n_docs, n_tokens over all batches; keys whose sums are both zero are left out."""
-        batches = [s.getPath().toString() for s in self.fs.listStatus(self.at()) if s.getPath().getName().startswith("batch=")] if self.fs.exists(self.at()) else []
-        schema = "source string, lang string, tokenizer string, docs long, tokens long"
-        rows = self.spark.read.schema(schema).parquet(*batches) if batches else self.spark.createDataFrame([], schema)
-        sums = rows.groupBy(*KEYS).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
+        sums = self._sums()[0].groupBy(*KEYS).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 or n_tokens <> 0")
 
 
+def inserts(docs: DataFrame, path: str | None = None, text: str = "text", op: str = "insert") -> DataFrame:
+    """Changes for Rollup.commit that add (``op`` 'delete': take away) documents (source, lang, ``text``) under a
+    vocabulary file, whose name is the tokenizer's version; a null text has no tokens."""
+    from tarnwerk.llm import bpe
+
+    counts = bpe.count_tokens(docs.select("source", "lang", F.col(text).alias("text")), path=path)
+    version = F.lit((path or bpe.default_path()).rsplit("/", 1)[-1])
+    return counts.select("source", "lang", version.alias("tokenizer"), F.lit(op).alias("op"), "n_tokens", F.lit(None).cast("long").alias("old_tokens"))
+
+
 def counted(text: Column, tokenizer: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(TOKENIZERS[tokenizer])), F.lit(0)).cast("long")
 
