@@ -105,7 +105,12 @@ def counted(text: Column, tokenizer: str) -> Column:
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:
     """Four batches over whole tables, one of them sent twice: every document's words-1 count inserted; the same with
     words-2; words-1 revised to what words-2 finds in it, for documents that have a label; documents labelled toxic
-    deleted under both."""
+    deleted under both.
+
+    Defined cases: a null or empty text has 0 tokens and counts as a document; null sources and languages are keys of
+    their own; a document without an id or a label keeps its first count; rows that share an id are documents of their
+    own, all with that id's label; an id that is labelled twice is toxic if one label says so; texts of any length are
+    read whole; other columns aren't looked at; empty tables give an empty result."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = cut(docs.select("doc_id", "source", "lang", counted(F.col("text"), "words-1").alias("n1"), counted(F.col("text"), "words-2").alias("n2")))
