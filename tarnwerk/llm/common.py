@@ -30,18 +30,21 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from there; a lost executor costs a reread, not a recomputation. The
-    shuffle files on the way are removed as soon as it is written."""
+    shuffle files on the way are removed as soon as it is written, and so are earlier steps that nothing refers to any more;
+    the collection also keeps the driver's heap from growing to its limit over many steps."""
     spark = df.sparkSession
     shared_dir(spark)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        return df.select("*").checkpoint(eager=True)  # a new query, for a query takes the setting when it is made
+        made = df.select("*").checkpoint(eager=True)  # a new query, for a query takes the setting when it is made
     finally:
         if before is None:
             spark.conf.unset(CLEANUP)
         else:
             spark.conf.set(CLEANUP, before)
+    release(spark)
+    return made
 
 
 def release(spark: SparkSession) -> None:

@@ -6,9 +6,9 @@ exact similarity alike. Equal lines have one key and are one node. Between steps
 where it is compared, for it takes eight bytes a character.
 
 Signature: one 32-bit hash a shingle; value i is the least of hash xor seed i, which is the shingle nearest to a
-point of the hash space and is the same for two lines with the chance of their similarity. All points lie in the half
-of the space that negative hashes are near, so other shingles can be left out but for a line's first few, which stand
-in where a line has none in that half. Values spread over the space, so short lines repeat shingles among them.
+point of the hash space and is the same for two lines with the chance of their similarity. The points lie in different
+64ths of the space, and all shingles count for each. Shingles are read in blocks, whose least is taken in registers
+before it goes to the aggregate. Short lines repeat shingles among their values.
 
 Banding decides which lines are compared; bucketlinks says how, without listing the pairs of a bucket.
 """
@@ -26,18 +26,19 @@ from tarnwerk.llm.components import connected_components
 SHINGLE = 5
 #: A pair at similarity 0.8 shares a bucket with the chance 1 - (1 - 0.8^4)^9 = 0.991, at 0.9 with 0.9998.
 BANDS, BAND_ROWS = 9, 4
-#: A line of up to SHORT characters has few shingles to choose from, and its bands miss together; it gets bands of
-#: SHORT_ROWS values as well, with which pairs at similarity 0.8 meet with the chance 0.97 at 5 shingles, 0.99 at 15.
-SHORT, SHORT_ROWS = 48, 2
-#: Shingles at the start of a line that are read whatever their hash.
-ALWAYS = 8
+#: A line of up to SHORT characters has few shingles to choose from, and its bands miss together; it gets SHORT_BANDS
+#: bands of SHORT_ROWS values as well, with which all of them together find 0.998 of pairs at similarity 0.8 and 8 or 16
+#: shingles in simulation. With bands of two values the pairs to compare would soon grow with the square of the input.
+SHORT, SHORT_BANDS, SHORT_ROWS = 48, 12, 3
+#: Shingles that are read in one row.
+BLOCK = 16
 
 
 def seeds(count: int) -> list[int]:
-    """Points of the half space of non-negative 32-bit integers, spread over its 64 parts in a fixed random order."""
+    """Points of the space of signed 32-bit integers, spread over its 64 parts in a fixed random order."""
     rng = np.random.default_rng(9)
     parts = np.concatenate([rng.permutation(64) for _ in range(-(-count // 64))])[:count]
-    return [int(p) << 25 | int(x) for p, x in zip(parts, rng.integers(0, 1 << 25, count))]
+    return [int(p) - 32 << 26 | int(x) for p, x in zip(parts, rng.integers(0, 1 << 26, count))]
 
 
 def wide(line: Column) -> Column:
@@ -68,19 +69,21 @@ def line_rows(docs: DataFrame, text: str, id_col: str) -> DataFrame:
 def signatures(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     """(k, again, bands, s0..): a row a distinct line; again: it occurs more than once; s0..: one bit of each value."""
     marks = line_rows(docs, text, id_col).select("k", wide(F.col("line")).alias("w"))
-    marks = marks.select("k", "w", F.explode(places(F.col("w"))).alias("i"))
-    h = F.shiftright(F.xxhash64(shingle(F.col("w"), F.col("i"))), 32)
-    marks = marks.select("k", "i", h.alias("h")).where((F.col("h") < 0) | (F.col("i") < ALWAYS))
+    last = F.greatest(F.shiftright(F.octet_length("w"), 2) - SHINGLE, F.lit(0))
+    marks = marks.select("k", "w", last.alias("last"), F.explode(F.sequence(F.lit(0), last, F.lit(BLOCK))).alias("i"))
+    # past the end of a line its last shingle repeats, which changes no least value
+    hashed = lambda j: F.shiftright(F.xxhash64(shingle(F.col("w"), F.least(F.col("i") + j, F.col("last")))), 32)
+    marks = marks.select("k", "i", "last", *[hashed(j).alias(f"h{j}") for j in range(BLOCK)])
     count = BANDS * BAND_ROWS
-    least = [F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{j}") for j, c in enumerate(seeds(count))]
-    mins = marks.groupBy("k").agg(F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("n"), F.max("i").alias("last"), *least)
+    least = [F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(c)) for j in range(BLOCK)])).alias(f"m{n}") for n, c in enumerate(seeds(count))]
+    mins = marks.groupBy("k").agg(F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("n"), F.max("last").alias("last"), *least)
     found = mins.select("k", (F.col("n") > 1).alias("again"), "last", F.array(*[f"m{j}" for j in range(count)]).alias("v"), *planes(count))
 
-    def keys(v, rows, sort):  # from an array: so many hashes in one generated method would be too large to be compiled
-        starts = F.sequence(F.lit(0), F.lit(count - rows), F.lit(rows))
+    def keys(v, rows, number, sort):  # from an array: so many hashes in one generated method would be too large to be compiled
+        starts = F.sequence(F.lit(0), F.lit((number - 1) * rows), F.lit(rows))
         return F.transform(starts, lambda j: F.xxhash64(F.lit(sort), j, *[F.get(v, j + r) for r in range(rows)]))
 
-    of = lambda v: F.when(F.col("last") <= SHORT - SHINGLE, F.concat(keys(v, BAND_ROWS, 0), keys(v, SHORT_ROWS, 1))).otherwise(keys(v, BAND_ROWS, 0))
+    of = lambda v: F.when(F.col("last") <= SHORT - SHINGLE, F.concat(keys(v, BAND_ROWS, BANDS, 0), keys(v, SHORT_ROWS, SHORT_BANDS, 1))).otherwise(keys(v, BAND_ROWS, BANDS, 0))
     return found.select("k", "again", let(F.col("v"), of).alias("bands"), *PLANE_NAMES)
 
 

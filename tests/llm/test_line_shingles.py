@@ -50,3 +50,35 @@ def test_recall_of_the_bands_in_use_right_above_the_threshold(spark):
     found = sum(t == "" for _, t in test_lines.run(spark, rows))
     print(f"{found} of {near} pairs at 0.80 to 0.85")
     assert found >= 0.987 * near
+
+
+def short_lines(rnd, count):
+    parts = ["th", "in", "er", "an", "re", "on", "at", "en", "nd", "ti", "es", "or", "te", "of", "ed"]
+    return sorted({" ".join("".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 4))) for _ in range(rnd.randrange(4, 8)))[:44] for _ in range(count)})
+
+
+def test_unlike_short_lines_seldom_share_a_bucket(spark):
+    """The pairs that meet grow with the square of the lines, so there must be few."""
+    from pyspark.sql import functions as F
+
+    from tarnwerk.llm import lines
+
+    rows = [(k, x, "", "") for k, x in enumerate(short_lines(random.Random(7), 3000))]
+    bands = lines.signatures(spark.createDataFrame(rows, test_lines.SCHEMA), "text", "doc_id").select("k", F.explode("bands").alias("bk"))
+    met = bands.groupBy("bk").count().agg(F.sum(F.expr("count * (count - 1) div 2"))).first()[0]
+    print(f"{met} pairs of {len(rows)} lines meet")
+    assert met < 0.5 * len(rows)
+
+
+def test_recall_on_short_lines_with_the_bands_in_use(spark):
+    rnd = random.Random(8)
+    rows, near = [], 0
+    while near < 600:
+        line = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(14, 44)))
+        other = line + "".join(rnd.choice("0123456789") for _ in range(rnd.randrange(1, 10)))
+        if 0.8 <= jaccard(line, other) < 0.85:
+            rows += [(2 * near, line), (2 * near + 1, other)]
+            near += 1
+    found = sum(t == "" for _, t in test_lines.run(spark, rows))
+    print(f"{found} of {near} pairs of short lines at 0.80 to 0.85")
+    assert found >= 0.985 * near
