@@ -43,6 +43,11 @@ def cut(df: DataFrame) -> DataFrame:
             spark.conf.unset(CLEANUP)
         else:
             spark.conf.set(CLEANUP, before)
+    # A checkpoint keeps the planner's guess of its size, and a join's guess is the product of its sides: over rounds of
+    # joins the number gets so many digits that the driver takes minutes and its memory to multiply it.
+    plan = made._jdf.queryExecution()
+    if plan.optimizedPlan().stats().sizeInBytes() >= 1 << 62:
+        made = DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.logical().rdd(), made._jdf.schema(), False), spark)
     release(spark)
     return made
 

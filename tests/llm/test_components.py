@@ -32,3 +32,13 @@ def test_shapes(spark):
 
 def test_empty(spark):
     assert connected_components(spark.createDataFrame([(5, 5), (None, 1)], "a long, b long")).collect() == []
+
+
+def test_the_guess_of_a_size_stays_a_small_number_over_rounds(spark):
+    from tarnwerk.llm import components
+    from tarnwerk.llm.common import cut
+
+    e = spark.createDataFrame([(k + 1, k) for k in range(30)], "u long, v long")
+    for _ in range(3):
+        e = cut(components._small_star(components._large_star(e)))
+    assert e._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 64
