@@ -30,11 +30,13 @@ TILE, TILE_WEIGHT = 256, 1 << 18
 
 @dataclass(frozen=True)
 class Kind:
-    """values: those of a signature; of: a text's shingle set, from the column that holds the text; weight: its length."""
+    """values: those of a signature; of: a text's shingle set, from the column that holds the text; weight: its length;
+    near: the share of the values that must agree."""
 
     values: int
     of: Callable[[Column], Column]
     weight: Callable[[Column], Column]
+    near: float = NEAR
 
 
 def let(value: Column, body) -> Column:
@@ -48,10 +50,10 @@ def planes(values: int) -> list[Column]:
     return [reduce(Column.bitwiseOR, [bit(j, p) for j in range(values)]).alias(name) for p, name in enumerate(PLANE_NAMES)]
 
 
-def _near(x, y, values: int) -> Column:
+def _near(x, y, kind: Kind) -> Column:
     """Whether two kept signatures agree in that share of the values at least; x, y: from a plane's name to its column."""
     differ = reduce(Column.bitwiseOR, [x(f"s{p}").bitwiseXOR(y(f"s{p}")) for p in range(PLANES)])
-    return F.bit_count(differ) <= int(values * (1 - NEAR) + 1e-9)
+    return F.bit_count(differ) <= int(kind.values * (1 - kind.near) + 1e-9)
 
 
 def _similar(a: Column, b: Column, threshold: float) -> Column:
@@ -98,7 +100,7 @@ def _marked(rows: DataFrame, kind: Kind) -> DataFrame:
     may be similar."""
 
     def marks(o, m):
-        near = lambda x: F.filter(m, lambda y: _apart(x, y) & _near(lambda s: x[s], lambda s: y[s], kind.values))
+        near = lambda x: F.filter(m, lambda y: _apart(x, y) & _near(lambda s: x[s], lambda s: y[s], kind))
         ends = lambda x, ys: F.when(F.size(ys) > 0, F.concat(F.array(x["k"]), F.transform(ys, lambda y: y["k"])))
         found = F.transform(o, lambda x: let(near(x), lambda ys: ends(x, ys)))
         return F.array_distinct(F.flatten(F.filter(found, lambda f: f.isNotNull())))
@@ -111,7 +113,7 @@ def _joined(rows: DataFrame, texts: DataFrame, threshold: float, kind: Kind) ->
 
     def links(o, m):
         of = lambda a: F.transform(a, lambda x: F.struct(*[x[s].alias(s) for s in ("k", "c", "main", *PLANE_NAMES)], kind.of(x["line"]).alias("z")))
-        same = lambda x, y: _apart(x, y) & _near(lambda s: x[s], lambda s: y[s], kind.values) & _similar(x["z"], y["z"], threshold)
+        same = lambda x, y: _apart(x, y) & _near(lambda s: x[s], lambda s: y[s], kind) & _similar(x["z"], y["z"], threshold)
         ends = lambda x, ms: F.array_distinct(F.transform(F.filter(ms, lambda y: same(x, y)), lambda y: F.struct(x["c"].alias("k"), y["c"].alias("p"))))
         return let(F.struct(of(o).alias("o"), of(m).alias("m")), lambda t: F.array_distinct(F.flatten(F.transform(t["o"], lambda x: ends(x, t["m"])))))
 
@@ -133,7 +135,7 @@ def linked(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold
     rows = cut(join_hot(members, join_hot(central, signed.select("k", *PLANE_NAMES), "k"), "k").select("bk", "n", "k", "w", *PLANE_NAMES))
     best = F.max(F.struct("w", "k", *PLANE_NAMES)).alias("b")
     pivots = rows.groupBy("bk").agg(best).select("bk", F.col("b.k").alias("p"), *[F.col(f"b.{s}").alias(f"p{s}") for s in PLANE_NAMES])
-    near = _near(F.col, lambda s: F.col(f"p{s}"), kind.values)
+    near = _near(F.col, lambda s: F.col(f"p{s}"), kind)
     met = cut(join_hot(rows, pivots, "bk").where((F.col("n") > 2) | near).select("bk", "n", "k", "p", near.alias("main"), *PLANE_NAMES))
     del signed, members, central, rows, pivots
     release(spark)

@@ -1,8 +1,9 @@
-"""Near copies of whole texts at a Jaccard similarity of their word shingles: MinHash bands, exact Jaccard, components.
+"""Near copies of whole texts: SimHash fingerprints, trie self-joins, exact Jaccard on word shingles, components.
 
-A SimHash within 3 of 64 bits stands for a similarity of about 0.97; at 0.8 two fingerprints differ in about 10 bits,
-which no trie walk can tell from chance in time that grows with the input. So bands of MinHash values bring texts
-together, and every pair is verified on its whole shingle sets, as lines are.
+One 64-bit fingerprint within 3 bits stands for a similarity of about 0.97; at 0.8 each bit differs with the chance
+0.15. So a text gets TABLES fingerprints of 32 bits, each joined with itself in a trie with 3 bits of error, where a pair
+at 0.8 meets with the chance 0.26 each time and 0.9993 in all. Two fingerprint words more must agree roughly, lest chance
+meetings chain up. What meets is a bucket, and bucketlinks verifies its pairs on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -18,12 +19,15 @@ from pyspark.sql import functions as F
 from tarnwerk.llm.bucketlinks import PLANE_NAMES, PLANES, Kind, linked
 from tarnwerk.llm.common import cut, join_hot, release
 from tarnwerk.llm.components import connected_components
+from tarnwerk.llm.simhash import fingerprint_words, linked_keys
 
-#: A pair at similarity 0.8 shares a bucket with the chance 1 - (1 - 0.8^3)^16 = 0.99999.
-BANDS, BAND_ROWS = 16, 3
-#: Shingles whose values are held at once.
-BLOCK = 4096
-FACTORS = np.random.default_rng(42).integers(0, 2**63, (BANDS * BAND_ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Fingerprints of 32 bits, two in a word, and the bits in which two may differ. Texts of up to FEW shingles, where a bit
+#: differs with the chance 0.19, get MORE of them.
+TABLES, MORE, FEW, BUDGET = 24, 40, 24, 3
+#: Of 128 bits more, so many may differ: 19 do on average at similarity 0.8, 64 by chance.
+FAR = 38
+#: The share of the 64 places whose PLANES bits all agree: 0.61 on average at similarity 0.8, 0.125 by chance.
+NEAR = 0.36
 
 
 def shingle_hashes(text: bytes | None, width: int = 5) -> np.ndarray:
@@ -39,28 +43,23 @@ def shingle_hashes(text: bytes | None, width: int = 5) -> np.ndarray:
     return np.array(sorted({digest(joined[i:j], 42) for i, j in zip(starts, ends[min(width, len(words)) - 1 :])}), np.uint64)
 
 
-def values(hashes: np.ndarray) -> np.ndarray:
-    """The signature: for each factor the least product with a hash."""
-    low = np.full(BANDS * BAND_ROWS, 2**64 - 1, np.uint64)
-    for k in range(0, len(hashes), BLOCK):
-        low = np.minimum(low, (hashes[k : k + BLOCK] * FACTORS).min(axis=1))
-    return low
-
-
 def _signed(rows: DataFrame, width: int) -> DataFrame:
-    """(k, bands, s0..) of rows (k, text), a row a key."""
-    place = np.arange(BANDS * BAND_ROWS, dtype=np.uint64)
+    """(k, keys, s0..) of rows (k, text), a row a key; keys: the fingerprints, 16 bits at the top of either half."""
 
     def run(batches):
         for b in batches:
-            low = np.array([values(shingle_hashes(x.as_py(), width)) for x in b.column(1)], np.uint64).reshape(-1, BANDS * BAND_ROWS)
-            keys = np.array([[xxhash.xxh64_intdigest(x.tobytes(), j) for j, x in enumerate(row.reshape(BANDS, BAND_ROWS))] for row in low], np.uint64)
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(low) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1).view(np.int64), pa.int64()))
-            bits = [pa.array(np.bitwise_or.reduce((low >> np.uint64(40 + p) & np.uint64(1)) << place, axis=1).view(np.int64), pa.int64()) for p in range(PLANES)]
-            yield pa.RecordBatch.from_arrays([b.column(0), bands, *bits], ["k", "bands", *PLANE_NAMES])
+            sets = [shingle_hashes(x.as_py(), width) for x in b.column(1)]
+            words = np.array([fingerprint_words(x, PLANES + MORE // 2) for x in sets], np.uint64).reshape(-1, PLANES + MORE // 2)
+            pieces = words[:, PLANES:].copy().view(np.uint32).astype(np.uint64)
+            keys = (pieces >> np.uint64(16)) << np.uint64(48) | (pieces & np.uint64(0xFFFF)) << np.uint64(16)
+            held = np.array([MORE if len(x) <= FEW else TABLES for x in sets], np.int32)
+            flat = keys[np.arange(MORE)[None, :] < held[:, None]]
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(held)].astype(np.int32)), pa.array(flat.view(np.int64), pa.int64()))
+            bits = [pa.array(words[:, p].copy().view(np.int64), pa.int64()) for p in range(PLANES)]
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, *bits], ["k", "keys", *PLANE_NAMES])
 
-    made = rows.mapInArrow(run, f"k long, bands array<long>, {', '.join(f'{s} long' for s in PLANE_NAMES)}")
-    return made.groupBy("k").agg(*[F.first(c).alias(c) for c in ("bands", *PLANE_NAMES)])
+    made = rows.mapInArrow(run, f"k long, keys array<long>, {', '.join(f'{s} long' for s in PLANE_NAMES)}")
+    return made.groupBy("k").agg(*[F.first(c).alias(c) for c in ("keys", *PLANE_NAMES)])
 
 
 def _sets(rows: DataFrame, width: int) -> DataFrame:
@@ -83,14 +82,19 @@ def _key(text: str) -> Column:
 def _reach(docs: DataFrame, text: str, id_col: str, width: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(id, k) of every row, k being its text's key, and (k, c): the smallest id that a text reaches."""
     rows = docs.select(_key(text).alias("k"), F.col(text).cast("binary").alias("text"))
-    held = [cut(_signed(rows, width))]
+    signed = cut(_signed(rows, width))
+    tables = signed.select("k", F.posexplode("keys").alias("t", "key"), F.col("s0").alias("c0"), F.col("s1").alias("c1"))
+    meet = connected_components(cut(linked_keys(tables, BUDGET, FAR).distinct()))
+    buckets = meet.select(F.col("node").alias("k"), F.array("component").alias("bands"))
+    held = [cut(join_hot(buckets, signed.select("k", *PLANE_NAMES), "k"))]
+    del signed, tables, meet, buckets
     release(docs.sparkSession)
 
     def fetch(keys: DataFrame) -> DataFrame:
         found = rows.join(keys.withColumnRenamed("k", "w"), F.col("k") == F.col("w"), "left_semi")
         return _sets(found.groupBy("k").agg(F.min("text").alias("text")), width)
 
-    kind = Kind(BANDS * BAND_ROWS, lambda z: z, F.size)
+    kind = Kind(64, lambda z: z, F.size, NEAR)
     comps = connected_components(linked(held.pop(), fetch, threshold, kind), "k", "p").select(F.col("node").alias("k"), "component")
     marked = cut(docs.select(F.col(id_col).cast("long").alias("id"), _key(text).alias("k")))
     lows = marked.groupBy("k").agg(F.min("id").alias("low"))

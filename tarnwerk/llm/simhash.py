@@ -189,6 +189,70 @@ def linked_fingerprints(fps: DataFrame, budget: int = 3, depth: int | None = Non
     return rows.groupBy("t", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
+def fingerprint_words(hashes: np.ndarray, words: int) -> np.ndarray:
+    """A SimHash of ``words`` 64-bit words of a set of 64-bit hashes: each word has bits of its own, made from the hash
+    by mixing. An empty set: zero."""
+    if not len(hashes):
+        return np.zeros(words, np.uint64)
+    ones = np.zeros(words * BITS, np.int64)
+    step = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(0, len(hashes), 255):  # as many as a byte can count
+        x = hashes[k : k + 255, None] + step
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        ones += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(hashes)).view(np.uint64)
+
+
+def linked_keys(rows: DataFrame, budget: int, far: int, node: int = 1 << 20) -> DataFrame:
+    """A spanning forest (a, b) of links between the texts k of rows (t, key, k, c0, c1): same t, keys that differ in at
+    most ``budget`` bits (2 or 3), and c0 and c1 in at most ``far`` bits. Texts of one key are linked whatever their c0
+    and c1, and so are those of keys nearby, so that many near copies are not compared pair by pair."""
+    n = rows.where("t = 0").count()
+    depth = min(15, max(0, (max(n, 1) // node).bit_length()))
+    rest = BITS - depth
+    swapped = F.shiftleft("key", BITS // 2).bitwiseOR(F.shiftrightunsigned("key", BITS // 2))
+    both = F.explode(F.array(F.struct((F.col("t") * 2).alias("t"), F.col("key").alias("key")), F.struct((F.col("t") * 2 + 1).alias("t"), swapped.alias("key")))).alias("s")
+    rows = rows.select(both, "k", "c0", "c1").select("s.t", "s.key", "k", "c0", "c1")
+    own = F.shiftrightunsigned("key", rest) if depth else F.lit(0).cast("long")
+    rows = rows.withColumn("p", own)
+    other = F.array(F.col("p"), *[F.col("p").bitwiseXOR(F.lit(1 << i).cast("long")) for i in range(depth)])
+    rows = rows.withColumn("q", F.explode(other)).select("t", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), (F.col("p") > F.col("q")).alias("side"), "key", "k", "c0", "c1")
+
+    def run(group, table):
+        _, lo, hi = (x.as_py() for x in group)
+        key, k, c0, c1 = (table.column(c).to_numpy().view(np.uint64) for c in ("key", "k", "c0", "c1"))
+        side = table.column("side").to_numpy(zero_copy_only=False).astype(bool)
+        order = np.lexsort((key, side))
+        key, k, c0, c1, side = key[order], k[order], c0[order], c1[order], side[order]
+        first = np.r_[True, (key[1:] != key[:-1]) | (side[1:] != side[:-1])][: len(key)]
+        start = np.flatnonzero(first)
+        many = np.diff(np.r_[start, len(key)]) > 1
+        of = start[np.cumsum(first) - 1]
+        forest = Forest(len(start))
+        split = int((~side[start]).sum())
+
+        def link(i, j, add=0):
+            j = j + add
+            x, y = start[i], start[j]
+            near = np.bitwise_count(c0[x] ^ c0[y]).astype(np.int64) + np.bitwise_count(c1[x] ^ c1[y]) <= far
+            near |= many[i] | many[j]
+            forest.link(i[near], j[near])
+
+        distinct = key[start]
+        if lo == hi:
+            walk(distinct, None, depth, 0, budget, link)
+        elif split and split < len(distinct):
+            walk(distinct[:split], distinct[split:], depth, 1, budget, lambda i, j: link(i, j, split))
+        child, root = forest.edges()
+        again = np.flatnonzero(~first)
+        a, b = np.r_[k[again], k[start[child]]], np.r_[k[of[again]], k[start[root]]]
+        return pa.table({"a": pa.array(a.view(np.int64), pa.int64()), "b": pa.array(b.view(np.int64), pa.int64())})
+
+    return rows.groupBy("t", "lo", "hi").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 3, budget: int = 3) -> DataFrame:
     """(id_col, fp long, component_id) for every row of ``docs``; component_id is the smallest id reachable by links.
 

@@ -71,3 +71,34 @@ def test_rows_that_share_an_id_lose_only_the_text_that_is_elsewhere(spark):
 
 def test_no_rows(spark):
     assert corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame([], SCHEMA), "").collect() == []
+
+
+def test_the_tries_link_what_brute_force_links(spark):
+    import numpy as np
+
+    from tarnwerk.llm import simhash
+
+    rnd = random.Random(2)
+    keys = []
+    for _ in range(150):
+        x = rnd.getrandbits(32)
+        keys += [x, x ^ 1 << rnd.randrange(32), x ^ sum(1 << b for b in rnd.sample(range(32), 3)), x ^ sum(1 << b for b in rnd.sample(range(32), 4))]
+    signed = lambda x: int(np.uint64((x >> 16) << 48 | (x & 0xFFFF) << 16).view(np.int64))
+    rows = [(0, signed(x), k, 0, 0 if k % 5 else -1) for k, x in enumerate(keys)]
+    of = list(range(len(keys)))
+
+    def find(k):
+        return k if of[k] == k else find(of[k])
+
+    same = {x: keys.count(x) > 1 for x in keys}
+    for i, x in enumerate(keys):
+        for j, y in enumerate(keys[:i]):
+            if x == y or (x ^ y).bit_count() <= 3 and (same[x] or same[y] or (i % 5 > 0) == (j % 5 > 0)):
+                of[find(i)] = find(j)
+    df = spark.createDataFrame(rows, "t int, key long, k long, c0 long, c1 long")
+    for node in (1 << 20, 16):
+        got = list(range(len(keys)))
+        at = lambda k: k if got[k] == k else at(got[k])
+        for a, b in simhash.linked_keys(df, 3, 38, node).collect():
+            got[at(a)] = at(b)
+        assert len({(find(k), at(k)) for k in range(len(keys))}) == len({find(k) for k in range(len(keys))}) == len({at(k) for k in range(len(keys))})
