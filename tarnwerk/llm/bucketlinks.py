@@ -57,11 +57,14 @@ def _near(x, y, kind: Kind) -> Column:
 
 
 def _similar(a: Column, b: Column, threshold: float) -> Column:
-    """Whether two shingle sets have at least that Jaccard similarity; sizes are compared first."""
+    """Whether two shingle sets, both of them plain columns, have at least that Jaccard similarity; sizes are compared
+    first. There is no lambda around it, so that the sets meet in generated code, without an object an element."""
     na, nb = F.size(a), F.size(b)
     close = F.least(na, nb) >= F.greatest(na, nb) * F.lit(threshold)
-    enough = let(F.size(F.array_intersect(a, b)), lambda shared: shared >= F.lit(threshold) * (na + nb - shared))
-    return F.when(close, enough).otherwise(F.lit(False))
+    enough = lambda shared: shared >= F.lit(threshold) * (na + nb - shared)
+    near = F.floor((na + nb) * F.lit(threshold / (1 + threshold)))  # one off at most
+    need = F.when(enough(near - 1), near - 1).when(enough(near), near).otherwise(near + 1)
+    return F.when(close, F.size(F.array_intersect(a, b)) >= need).otherwise(F.lit(False))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, kind: Kind) -> DataFrame:
@@ -69,8 +72,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, kind: Kind)
     a = texts.select("k", F.col("line").alias("a"))
     b = texts.select(F.col("k").alias("p"), F.col("line").alias("b"))
     both = join_hot(join_hot(pairs, a, "k"), b, "p")
-    two = F.struct(kind.of(F.col("a")).alias("a"), kind.of(F.col("b")).alias("b"))
-    return both.where(let(two, lambda x: _similar(x["a"], x["b"], threshold))).select("k", "p")
+    two = both.select("k", "p", F.struct(kind.of(F.col("a")).alias("a"), kind.of(F.col("b")).alias("b")).alias("two"))
+    two = two.select("k", "p", F.explode(F.array("two")).alias("e"))  # lest the filter makes the sets anew
+    return two.where(_similar(F.col("e.a"), F.col("e.b"), threshold)).select("k", "p")
 
 
 def _tiled(rows: DataFrame, values: list[str], weight: Column, links) -> DataFrame:
@@ -113,11 +117,12 @@ def _joined(rows: DataFrame, texts: DataFrame, threshold: float, kind: Kind) ->
 
     def links(o, m):
         of = lambda a: F.transform(a, lambda x: F.struct(*[x[s].alias(s) for s in ("k", "c", "main", *PLANE_NAMES)], kind.of(x["line"]).alias("z")))
-        same = lambda x, y: _apart(x, y) & _near(lambda s: x[s], lambda s: y[s], kind) & _similar(x["z"], y["z"], threshold)
-        ends = lambda x, ms: F.array_distinct(F.transform(F.filter(ms, lambda y: same(x, y)), lambda y: F.struct(x["c"].alias("k"), y["c"].alias("p"))))
-        return let(F.struct(of(o).alias("o"), of(m).alias("m")), lambda t: F.array_distinct(F.flatten(F.transform(t["o"], lambda x: ends(x, t["m"])))))
+        may = lambda x, y: _apart(x, y) & _near(lambda s: x[s], lambda s: y[s], kind)
+        ends = lambda x, ms: F.transform(F.filter(ms, lambda y: may(x, y)), lambda y: F.struct(x["c"].alias("k"), y["c"].alias("p"), x["z"].alias("a"), y["z"].alias("b")))
+        return let(F.struct(of(o).alias("o"), of(m).alias("m")), lambda t: F.flatten(F.transform(t["o"], lambda x: ends(x, t["m"]))))
 
-    return _tiled(join_hot(rows, texts, "k"), [*PLANE_NAMES, "line"], kind.weight(F.col("line")), links).select("e.k", "e.p").distinct()
+    met = _tiled(join_hot(rows, texts, "k"), [*PLANE_NAMES, "line"], kind.weight(F.col("line")), links)
+    return met.where(_similar(F.col("e.a"), F.col("e.b"), threshold)).select("e.k", "e.p").distinct()
 
 
 def linked(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold: float, kind: Kind) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,9 +54,27 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the checkpoints that nothing refers to any more."""
+    """Let Spark's cleaner drop the checkpoints that nothing refers to any more, and give the driver's free memory back:
+    that of the heap by the collection, and that outside it, which plans and their compilation leave in many arenas."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim(spark)
+
+
+def trim(spark: SparkSession) -> bool:
+    """Whether the driver's JVM gave its free memory outside the heap back; Java 17.0.9 and later on Linux can."""
+    gateway = spark.sparkContext._gateway
+    jvm = gateway.jvm
+    try:
+        # by reflection on the interface, for the server's own class is not open to Py4J
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        given = gateway.new_array(jvm.java.lang.Object, 4)
+        given[0] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        given[1] = "systemTrimNativeHeap"
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JError:
+        return False
+    return True
 
 
 def far_key(c: Column) -> Column:

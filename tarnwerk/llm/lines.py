@@ -57,7 +57,7 @@ def shingle(w: Column, i: Column) -> Column:
 
 def shingle_set(line: Column) -> Column:
     """The set of a line's shingles, by hash; the wide line is made once, not for every element."""
-    return let(wide(line), lambda w: F.array_distinct(F.transform(places(w), lambda i: F.xxhash64(shingle(w, i)))))
+    return F.array_distinct(let(wide(line), lambda w: F.transform(places(w), lambda i: F.xxhash64(shingle(w, i)))))
 
 
 def line_rows(docs: DataFrame, text: str, id_col: str) -> DataFrame:

@@ -1,0 +1,31 @@
+"""What comparing costs: sets meet in generated code, and the driver gives free memory back."""
+
+from fractions import Fraction
+
+from pyspark.sql import functions as F
+
+from tarnwerk.llm import bucketlinks, common, lines
+
+
+def test_similar_is_exact_at_the_threshold(spark):
+    rows = [(list(range(n)), list(range(n - s, n - s + m))) for n in range(1, 31) for m in range(n, 34) for s in range(n + 1)]
+    for threshold in (0.8, 0.5):
+        got = spark.createDataFrame(rows, "a array<long>, b array<long>").select("a", "b", bucketlinks._similar(F.col("a"), F.col("b"), threshold).alias("y")).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            both = len({*r.a} & {*r.b})
+            assert r.y == (Fraction(both, len({*r.a} | {*r.b})) >= Fraction(str(threshold)))
+
+
+def test_sets_do_not_meet_inside_a_lambda(spark):
+    texts = spark.createDataFrame([(1, "a line that is compared"), (2, "a line that is compared.")], "k long, line string")
+    pairs = spark.createDataFrame([(1, 2)], "k long, p long")
+    found = bucketlinks._verified(pairs, texts, 0.8, bucketlinks.Kind(36, lines.shingle_set, F.length))
+    assert [tuple(r) for r in found.collect()] == [(1, 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    meets = [x for x in plan.splitlines() if "array_intersect" in x]
+    assert len(meets) == 1 and "lambda" not in meets[0], plan
+
+
+def test_free_memory_outside_the_heap_is_given_back(spark):
+    assert common.trim(spark)
