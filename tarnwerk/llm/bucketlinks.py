@@ -4,8 +4,9 @@ pairs of a bucket.
 Every member of a bucket is compared with its pivot, the member that meets most other texts. Members that are in one
 component by then need no further comparison; what is left of buckets that still hold several components is compared in
 tiles, the members outside the pivot's component with all. Two texts must agree in most of their signature's values
-(PLANES bits of each are kept) before their shingle sets are compared. So all similar texts that share a bucket end up
-in one component.
+(PLANES bits of each are kept) before their shingle sets are compared, and where a kind has sketches, the sketches must
+leave the similarity possible; they never rule out a similar pair. So all similar texts that share a bucket end up in
+one component.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ from tarnwerk.llm.components import contracted
 #: in one shared bucket 0.3. In simulation it costs 14 in 1000 pairs right at 0.8 with 20 shingles, 1 with 80.
 NEAR, PLANES = 0.58, 3
 PLANE_NAMES = [f"s{p}" for p in range(PLANES)]
+#: Words of a sketch: a bit of its 64 * SKETCH bits is set if a shingle's hash falls there.
+SKETCH = 32
+SKETCH_NAMES = [f"x{w}" for w in range(SKETCH)]
 #: Members of a tile, and the most it weighs unless one member weighs more; two tiles that must meet are one row.
 TILE, TILE_WEIGHT = 256, 1 << 18
 
@@ -31,12 +35,14 @@ TILE, TILE_WEIGHT = 256, 1 << 18
 @dataclass(frozen=True)
 class Kind:
     """values: those of a signature; of: a text's shingle set, from the column that holds the text; weight: its length;
-    near: the share of the values that must agree."""
+    near: the share of the values that must agree; sketch: (k, z, x0..) of texts (k, line), z being at least the size of
+    the shingle set."""
 
     values: int
     of: Callable[[Column], Column]
     weight: Callable[[Column], Column]
     near: float = NEAR
+    sketch: Callable[[DataFrame], DataFrame] | None = None
 
 
 def let(value: Column, body) -> Column:
@@ -56,6 +62,13 @@ def _near(x, y, kind: Kind) -> Column:
     return F.bit_count(differ) <= int(kind.values * (1 - kind.near) + 1e-9)
 
 
+def _possible(x, y, threshold: float) -> Column:
+    """Whether two sketches leave that similarity possible. A bit that only one has stands for a shingle that only one
+    has, and of those, similar sets have at most (1 - threshold) / (1 + threshold) of the sum of their sizes."""
+    apart = reduce(Column.__add__, [F.bit_count(x(w).bitwiseXOR(y(w))) for w in SKETCH_NAMES])
+    return apart <= (x("z") + y("z")) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-6)
+
+
 def _similar(a: Column, b: Column, threshold: float) -> Column:
     """Whether two shingle sets have at least that Jaccard similarity; sizes are compared first."""
     na, nb = F.size(a), F.size(b)
@@ -95,29 +108,38 @@ def _apart(x: Column, y: Column) -> Column:
     return (x["c"] != y["c"]) & (y["main"] | (x["k"] > y["k"]))
 
 
-def _marked(rows: DataFrame, kind: Kind) -> DataFrame:
-    """(bk, k) of the members (bk, k, c, main, s0..) that have another in their bucket, but in another component, that
-    may be similar."""
+def _marked(rows: DataFrame, values: list[str], may) -> DataFrame:
+    """(bk, k) of the members (bk, k, c, main) with ``values`` that have another in their bucket, but in another
+    component, for which ``may(x, y)`` holds; x, y: from a name to its column. Members meet by tiles, as rows of a join,
+    for many pairs meet and few of them are near."""
+    out = F.when(F.col("main"), 0).otherwise(1)
+    sizes = rows.groupBy("bk").agg(F.count("*").alias("n"), F.sum(out).alias("u")).where("u > 0")
+    tiles = sizes.select("bk", F.ceil(F.col("u") / TILE).alias("ot"), F.ceil(F.col("n") / TILE).alias("mt"))
+    dealt = join_hot(rows, tiles, "bk")
 
-    def marks(o, m):
-        near = lambda x: F.filter(m, lambda y: _apart(x, y) & _near(lambda s: x[s], lambda s: y[s], kind))
-        ends = lambda x, ys: F.when(F.size(ys) > 0, F.concat(F.array(x["k"]), F.transform(ys, lambda y: y["k"])))
-        found = F.transform(o, lambda x: let(near(x), lambda ys: ends(x, ys)))
-        return F.array_distinct(F.flatten(F.filter(found, lambda f: f.isNotNull())))
+    def side(some: DataFrame, own: str, other: str) -> DataFrame:
+        at = F.pmod(F.xxhash64("k"), own).alias(f"{own}_at"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"{other}_at")
+        return some.select("bk", *at, *[F.col(c).alias(f"{own}_{c}") for c in ("k", "c", "main", *values)])
 
-    return cut(_tiled(rows, PLANE_NAMES, F.lit(0), marks).select("bk", F.col("e").alias("k")).distinct())
+    met = side(dealt.where(~F.col("main")), "ot", "mt").join(side(dealt, "mt", "ot"), ["bk", "ot_at", "mt_at"])
+    x, y = lambda c: F.col(f"ot_{c}"), lambda c: F.col(f"mt_{c}")
+    found = met.where((x("c") != y("c")) & (y("main") | (x("k") > y("k"))) & may(x, y))
+    return cut(found.select("bk", F.explode(F.array("ot_k", "mt_k")).alias("k")).distinct())
 
 
 def _joined(rows: DataFrame, texts: DataFrame, threshold: float, kind: Kind) -> DataFrame:
-    """Pairs (k, p) of components that similar members (bk, k, c, main, s0..) of one bucket join."""
+    """Pairs (k, p) of components that similar members (bk, k, c, main, s0..; z, x0.. where the kind has sketches) of one
+    bucket join."""
+    values = [*PLANE_NAMES, *(["z", *SKETCH_NAMES] if kind.sketch else [])]
 
     def links(o, m):
-        of = lambda a: F.transform(a, lambda x: F.struct(*[x[s].alias(s) for s in ("k", "c", "main", *PLANE_NAMES)], kind.of(x["line"]).alias("z")))
-        same = lambda x, y: _apart(x, y) & _near(lambda s: x[s], lambda s: y[s], kind) & _similar(x["z"], y["z"], threshold)
+        of = lambda a: F.transform(a, lambda x: F.struct(*[x[s].alias(s) for s in ("k", "c", "main", *values)], kind.of(x["line"]).alias("set")))
+        may = lambda x, y: _possible(lambda s: x[s], lambda s: y[s], threshold) if kind.sketch else F.lit(True)
+        same = lambda x, y: _apart(x, y) & _near(lambda s: x[s], lambda s: y[s], kind) & may(x, y) & _similar(x["set"], y["set"], threshold)
         ends = lambda x, ms: F.array_distinct(F.transform(F.filter(ms, lambda y: same(x, y)), lambda y: F.struct(x["c"].alias("k"), y["c"].alias("p"))))
         return let(F.struct(of(o).alias("o"), of(m).alias("m")), lambda t: F.array_distinct(F.flatten(F.transform(t["o"], lambda x: ends(x, t["m"])))))
 
-    return _tiled(join_hot(rows, texts, "k"), [*PLANE_NAMES, "line"], kind.weight(F.col("line")), links).select("e.k", "e.p").distinct()
+    return _tiled(join_hot(rows, texts, "k"), [*values, "line"], kind.weight(F.col("line")), links).select("e.k", "e.p").distinct()
 
 
 def linked(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold: float, kind: Kind) -> DataFrame:
@@ -153,8 +175,16 @@ def linked(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold
     state = cut(state.select("bk", "k", "c", (F.col("c") == F.coalesce("d", "p")).alias("main"), *PLANE_NAMES))
     del met, more, pairs
     release(spark)
-    rows = cut(state.join(_marked(state, kind), ["bk", "k"]))
+    near = lambda x, y: _near(x, y, kind)
+    rows = cut(state.join(_marked(state, PLANE_NAMES, near), ["bk", "k"]))
     del state
     release(spark)
+    if kind.sketch:
+        keys = rows.select(F.col("k").alias("w")).distinct()
+        held = cut(join_hot(rows, kind.sketch(texts.join(keys, F.col("k") == F.col("w"), "left_semi")), "k"))
+        tight = _marked(held, [*PLANE_NAMES, "z", *SKETCH_NAMES], lambda x, y: near(x, y) & _possible(x, y, threshold))
+        rows = cut(held.join(tight, ["bk", "k"]))
+        del held, keys, tight
+        release(spark)
     found = cut(_joined(rows, texts, threshold, kind))
     return known.unionByName(found)

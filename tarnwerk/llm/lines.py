@@ -15,11 +15,13 @@ Banding decides which lines are compared; bucketlinks says how, without listing
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwerk.llm.bucketlinks import PLANE_NAMES, Kind, let, linked, planes
+from tarnwerk.llm.bucketlinks import PLANE_NAMES, SKETCH, SKETCH_NAMES, Kind, let, linked, planes
 from tarnwerk.llm.common import cut, join_hot, release
 from tarnwerk.llm.components import connected_components
 
@@ -32,6 +34,8 @@ BANDS, BAND_ROWS = 9, 4
 SHORT, SHORT_BANDS, SHORT_ROWS = 48, 12, 3
 #: Shingles that are read in one row.
 BLOCK = 16
+#: The same for sketches, whose code a shingle is longer.
+SKETCH_BLOCK = 4
 
 
 def seeds(count: int) -> list[int]:
@@ -46,18 +50,14 @@ def wide(line: Column) -> Column:
     return F.encode(line, "UTF-32")
 
 
-def places(w: Column) -> Column:
-    """Where the shingles of a wide line start."""
-    return F.sequence(F.lit(0), F.greatest(F.shiftright(F.octet_length(w), 2) - SHINGLE, F.lit(0)))
-
-
 def shingle(w: Column, i: Column) -> Column:
     return F.substring(w, i * 4 + 1, F.lit(4 * SHINGLE))
 
 
 def shingle_set(line: Column) -> Column:
     """The set of a line's shingles, by hash; the wide line is made once, not for every element."""
-    return let(wide(line), lambda w: F.array_distinct(F.transform(places(w), lambda i: F.xxhash64(shingle(w, i)))))
+    starts = lambda w: F.sequence(F.lit(1), F.greatest(F.octet_length(w) - 4 * SHINGLE + 1, F.lit(1)), F.lit(4))
+    return let(wide(line), lambda w: F.array_distinct(F.transform(starts(w), lambda i: F.xxhash64(F.substring(w, i, F.lit(4 * SHINGLE))))))
 
 
 def line_rows(docs: DataFrame, text: str, id_col: str) -> DataFrame:
@@ -77,14 +77,27 @@ def signatures(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     count = BANDS * BAND_ROWS
     least = [F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(c)) for j in range(BLOCK)])).alias(f"m{n}") for n, c in enumerate(seeds(count))]
     mins = marks.groupBy("k").agg(F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("n"), F.max("last").alias("last"), *least)
-    found = mins.select("k", (F.col("n") > 1).alias("again"), "last", F.array(*[f"m{j}" for j in range(count)]).alias("v"), *planes(count))
+    def keys(rows, number, sort):
+        return [F.xxhash64(F.lit(sort), F.lit(j), *[F.col(f"m{j + r}") for r in range(rows)]) for j in range(0, number * rows, rows)]
 
-    def keys(v, rows, number, sort):  # from an array: so many hashes in one generated method would be too large to be compiled
-        starts = F.sequence(F.lit(0), F.lit((number - 1) * rows), F.lit(rows))
-        return F.transform(starts, lambda j: F.xxhash64(F.lit(sort), j, *[F.get(v, j + r) for r in range(rows)]))
+    long, short = keys(BAND_ROWS, BANDS, 0), keys(SHORT_ROWS, SHORT_BANDS, 1)
+    bands = F.when(F.col("last") <= SHORT - SHINGLE, F.array(*long, *short)).otherwise(F.array(*long))
+    # ``let`` keeps this step out of the generated loop, whose one method would be too large to be compiled
+    return mins.select("k", (F.col("n") > 1).alias("again"), let(bands, lambda b: b).alias("bands"), *planes(count))
 
-    of = lambda v: F.when(F.col("last") <= SHORT - SHINGLE, F.concat(keys(v, BAND_ROWS, BANDS, 0), keys(v, SHORT_ROWS, SHORT_BANDS, 1))).otherwise(keys(v, BAND_ROWS, BANDS, 0))
-    return found.select("k", "again", let(F.col("v"), of).alias("bands"), *PLANE_NAMES)
+
+def sketches(texts: DataFrame) -> DataFrame:
+    """(k, z, x0..) of lines (k, line), a row a line: z: its shingles, repeats included; x0..: the bits at which the hashes
+    of its shingles fall."""
+    rows = texts.select("k", wide(F.col("line")).alias("w"))
+    last = F.greatest(F.shiftright(F.octet_length("w"), 2) - SHINGLE, F.lit(0))
+    rows = rows.select("k", "w", last.alias("last"), F.explode(F.sequence(F.lit(0), last, F.lit(SKETCH_BLOCK))).alias("i"))
+    hashed = lambda j: F.xxhash64(shingle(F.col("w"), F.least(F.col("i") + j, F.col("last"))))
+    rows = rows.select("k", "last", *[hashed(j).alias(f"h{j}") for j in range(SKETCH_BLOCK)])
+    word = lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(SKETCH - 1).cast("long"))
+    rows = rows.select("k", "last", *[word(F.col(f"h{j}")).alias(f"w{j}") for j in range(SKETCH_BLOCK)], *[F.expr(f"shiftleft(1L, cast(h{j} & 63 as int))").alias(f"b{j}") for j in range(SKETCH_BLOCK)])
+    own = lambda w: reduce(Column.bitwiseOR, [F.when(F.col(f"w{j}") == w, F.col(f"b{j}")).otherwise(F.lit(0).cast("long")) for j in range(SKETCH_BLOCK)])
+    return rows.groupBy("k").agg((F.max("last") + 1).alias("z"), *[F.bit_or(own(w)).alias(x) for w, x in enumerate(SKETCH_NAMES)])
 
 
 def line_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = 0.8) -> DataFrame:
@@ -99,7 +112,7 @@ def line_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         found = rows.join(keys.withColumnRenamed("k", "w"), F.col("k") == F.col("w"), "left_semi")
         return found.groupBy("k").agg(F.min("line").alias("line"))
 
-    comps = connected_components(linked(held.pop(), fetch, threshold, Kind(BANDS * BAND_ROWS, shingle_set, F.length)), "k", "p")
+    comps = connected_components(linked(held.pop(), fetch, threshold, Kind(BANDS * BAND_ROWS, shingle_set, F.length, sketch=sketches)), "k", "p")
     known = comps.select(F.col("node").alias("k"), "component")
     alone = again.join(known.select(F.col("k").alias("o")), F.col("k") == F.col("o"), "left_anti").select("k", F.col("k").alias("component"))
     return cut(known.unionByName(alone))

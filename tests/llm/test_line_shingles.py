@@ -82,3 +82,28 @@ def test_recall_on_short_lines_with_the_bands_in_use(spark):
     found = sum(t == "" for _, t in test_lines.run(spark, rows))
     print(f"{found} of {near} pairs of short lines at 0.80 to 0.85")
     assert found >= 0.985 * near
+
+
+def test_sketches_rule_out_unlike_lines_and_never_similar_ones(spark):
+    from pyspark.sql import functions as F
+
+    from tarnwerk.llm import bucketlinks, lines
+
+    rnd = random.Random(10)
+    rows = []
+    for k in range(400):
+        line = "".join(rnd.choice("abcdefgh \u6f22\U0001f600") for _ in range(rnd.choice([1, 3, 5, 6, 9, 40, 300, 3000])))
+        line *= rnd.choice([1, 1, 3])
+        other = list(line)
+        for at in rnd.sample(range(len(line)), rnd.randrange(1 + len(line) // 20)):
+            other[at] = rnd.choice("xyz")
+        rows.append((k, line, "".join(other) + "z" * rnd.randrange(2)))
+    df = spark.createDataFrame(rows, "k long, a string, b string")
+    of = lambda side: lines.sketches(df.select("k", F.col(side).alias("line"))).select("k", F.struct("*").alias(side))
+    may = bucketlinks._possible(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"), 0.8)
+    left = {r.k: r.may for r in of("a").join(of("b"), "k").select("k", may.alias("may")).collect()}
+    assert len(left) == len(rows)
+    near = [k for k, a, b in rows if jaccard(a, b) >= 0.8]
+    far = [k for k, a, b in rows if jaccard(a, b) < 0.6 and len(a) <= 300]
+    assert len(near) > 100 and all(left[k] for k in near)
+    assert len(far) > 20 and sum(left[k] for k in far) < 0.2 * len(far)
