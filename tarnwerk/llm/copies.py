@@ -28,6 +28,8 @@ TABLES, MORE, FEW, BUDGET = 24, 40, 24, 3
 FAR = 38
 #: The share of the 64 places whose PLANES bits all agree: 0.61 on average at similarity 0.8, 0.125 by chance.
 NEAR = 0.36
+#: Texts whose shingle sets a Python worker holds at once.
+TEXTS = 512
 
 
 def shingle_hashes(text: bytes | None, width: int = 5) -> np.ndarray:
@@ -43,11 +45,18 @@ def shingle_hashes(text: bytes | None, width: int = 5) -> np.ndarray:
     return np.array(sorted({digest(joined[i:j], 42) for i, j in zip(starts, ends[min(width, len(words)) - 1 :])}), np.uint64)
 
 
+def _slices(batches):
+    """The batches, in slices of at most TEXTS rows."""
+    for b in batches:
+        for i in range(0, b.num_rows, TEXTS):
+            yield b.slice(i, TEXTS)
+
+
 def _signed(rows: DataFrame, width: int) -> DataFrame:
     """(k, keys, s0..) of rows (k, text), a row a key; keys: the fingerprints, 16 bits at the top of either half."""
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             sets = [shingle_hashes(x.as_py(), width) for x in b.column(1)]
             words = np.array([fingerprint_words(x, PLANES + MORE // 2) for x in sets], np.uint64).reshape(-1, PLANES + MORE // 2)
             pieces = words[:, PLANES:].copy().view(np.uint32).astype(np.uint64)
@@ -66,10 +75,10 @@ def _sets(rows: DataFrame, width: int) -> DataFrame:
     """(k, line array<long>): the shingle sets of rows (k, text)."""
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             arrays = [shingle_hashes(x.as_py(), width).view(np.int64) for x in b.column(1)]
             ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-            flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
+            flat = np.concatenate(arrays)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))], ["k", "line"])
 
     return rows.mapInArrow(run, "k long, line array<long>")

@@ -27,8 +27,8 @@ from tarnwerk.llm.components import connected_components
 BITS = 64
 #: Fingerprints below one upper node, about, when the depth is chosen.
 NODE = 8192
-#: Node pairs expanded at once and pairs of leaves compared at once: the memory of a walk.
-FRONTIER, LEAVES = 1 << 18, 1 << 21
+#: Node pairs expanded at once, pairs of leaves compared at once and places held over all levels: the memory of a walk.
+FRONTIER, LEAVES, PLACES = 1 << 16, 1 << 17, 1 << 23
 #: A node pair with at most so many pairs of leaves is compared outright.
 SMALL = 64
 
@@ -102,8 +102,10 @@ def walk(a: np.ndarray, b: np.ndarray | None, depth: int, diff: int, budget: int
 
     def before(level: int) -> tuple[np.ndarray, np.ndarray]:
         if level not in zeros:
-            at = np.uint64(BITS - 1 - level)
-            low = [np.concatenate([[0], np.cumsum((x >> at & np.uint64(1)) == 0)]) for x in ((a,) if same else (a, b))]
+            if (len(zeros) + 1) * (len(a) if same else len(a) + len(b)) > PLACES:
+                zeros.clear()
+            at = np.uint64(1 << BITS - 1 - level)
+            low = [np.concatenate([[0], np.cumsum((x & at) == 0, dtype=np.int32)], dtype=np.int32) for x in ((a,) if same else (a, b))]
             zeros[level] = (low[0], low[-1])
         return zeros[level]
 
@@ -218,10 +220,12 @@ def linked_keys(rows: DataFrame, budget: int, far: int, node: int = 1 << 20) ->
     own = F.shiftrightunsigned("key", rest) if depth else F.lit(0).cast("long")
     rows = rows.withColumn("p", own)
     other = F.array(F.col("p"), *[F.col("p").bitwiseXOR(F.lit(1 << i).cast("long")) for i in range(depth)])
-    rows = rows.withColumn("q", F.explode(other)).select("t", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), (F.col("p") > F.col("q")).alias("side"), "key", "k", "c0", "c1")
+    # t, the lower and the higher node in one number, for a group's rows all carry it to Python
+    pair = F.shiftleft(F.col("t").cast("long"), 30) + F.shiftleft(F.least("p", "q"), 15) + F.greatest("p", "q")
+    rows = rows.withColumn("q", F.explode(other)).select(pair.alias("g"), (F.col("p") > F.col("q")).alias("side"), "key", "k", "c0", "c1")
 
     def run(group, table):
-        _, lo, hi = (x.as_py() for x in group)
+        lo, hi = group[0].as_py() >> 15 & 0x7FFF, group[0].as_py() & 0x7FFF
         key, k, c0, c1 = (table.column(c).to_numpy().view(np.uint64) for c in ("key", "k", "c0", "c1"))
         side = table.column("side").to_numpy(zero_copy_only=False).astype(bool)
         order = np.lexsort((key, side))
@@ -250,7 +254,7 @@ def linked_keys(rows: DataFrame, budget: int, far: int, node: int = 1 << 20) ->
         a, b = np.r_[k[again], k[start[child]]], np.r_[k[of[again]], k[start[root]]]
         return pa.table({"a": pa.array(a.view(np.int64), pa.int64()), "b": pa.array(b.view(np.int64), pa.int64())})
 
-    return rows.groupBy("t", "lo", "hi").applyInArrow(run, "a long, b long")
+    return rows.groupBy("g").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 3, budget: int = 3) -> DataFrame:

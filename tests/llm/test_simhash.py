@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -120,3 +121,23 @@ def test_keep_one_judges_rows_that_share_an_id_by_their_texts(spark):
     rows = [(2, "one two three four five six"), (5, "one two three four five six"), (5, "a text that nothing else resembles")]
     got = sorted((r.doc_id, r.text) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [rows[0], rows[2]]
+
+
+def test_a_walk_takes_little_memory():
+    rng = np.random.default_rng(4)
+    halves = rng.integers(0, 1 << 16, (2, 1 << 17)).astype(np.uint64)
+    halves[:, ::64] = halves[:, 1::64]
+    halves[0, ::64] ^= np.uint64(5)
+    keys = np.unique(halves[0] << np.uint64(48) | halves[1] << np.uint64(16))
+    found = []
+    tracemalloc.start()
+    simhash.walk(keys, None, 0, 0, 3, lambda i, j: found.append(np.stack([keys[i], keys[j]])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    differ = keys[:500, None] ^ keys[None]
+    near = np.triu(np.bitwise_count(differ) <= 3, 1)
+    sure = near & (np.bitwise_count(differ >> np.uint64(32)) <= 1)  # the other walk finds the rest
+    got = {(int(x), int(y)) for x, y in np.concatenate(found, 1).T if x <= keys[499]}
+    pairs = lambda m: {(int(keys[i]), int(keys[j])) for i, j in np.argwhere(m)}
+    assert set() < pairs(sure) <= got <= pairs(near)
+    assert peak < 64 << 20
