@@ -110,8 +110,9 @@ def _apart(x: Column, y: Column) -> Column:
 
 def _marked(rows: DataFrame, values: list[str], may) -> DataFrame:
     """(bk, k) of the members (bk, k, c, main) with ``values`` that have another in their bucket, but in another
-    component, for which ``may(x, y)`` holds; x, y: from a name to its column. Members meet by tiles, as rows of a join,
-    for many pairs meet and few of them are near."""
+    component, for which ``may(x, y)`` holds, which must be symmetric; x, y: from a name to its column. Members meet by
+    tiles, in semi-joins: a member is done with the first that it finds in a tile, and pairs are never listed. Those
+    outside the pivot's component look among all, then those inside among the outer ones that found some."""
     out = F.when(F.col("main"), 0).otherwise(1)
     sizes = rows.groupBy("bk").agg(F.count("*").alias("n"), F.sum(out).alias("u")).where("u > 0")
     tiles = sizes.select("bk", F.ceil(F.col("u") / TILE).alias("ot"), F.ceil(F.col("n") / TILE).alias("mt"))
@@ -119,12 +120,18 @@ def _marked(rows: DataFrame, values: list[str], may) -> DataFrame:
 
     def side(some: DataFrame, own: str, other: str) -> DataFrame:
         at = F.pmod(F.xxhash64("k"), own).alias(f"{own}_at"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"{other}_at")
-        return some.select("bk", *at, *[F.col(c).alias(f"{own}_{c}") for c in ("k", "c", "main", *values)])
+        return some.select("bk", *at, *[F.col(c).alias(f"{own}_{c}") for c in ("k", "c", *values)])
 
-    met = side(dealt.where(~F.col("main")), "ot", "mt").join(side(dealt, "mt", "ot"), ["bk", "ot_at", "mt_at"])
     x, y = lambda c: F.col(f"ot_{c}"), lambda c: F.col(f"mt_{c}")
-    found = met.where((x("c") != y("c")) & (y("main") | (x("k") > y("k"))) & may(x, y))
-    return cut(found.select("bk", F.explode(F.array("ot_k", "mt_k")).alias("k")).distinct())
+
+    def found(who: DataFrame, among: DataFrame, own: str) -> DataFrame:
+        w, a = who.alias("w"), among.alias("a")
+        met = reduce(Column.__and__, [F.col(f"w.{c}") == F.col(f"a.{c}") for c in ("bk", "ot_at", "mt_at")])
+        return w.join(a, met & (x("c") != y("c")) & may(x, y), "left_semi").select("bk", F.col(f"{own}_k").alias("k")).distinct()
+
+    outer = cut(found(side(dealt.where(~F.col("main")), "ot", "mt"), side(dealt, "mt", "ot"), "ot"))
+    few = dealt.where(~F.col("main")).join(outer, ["bk", "k"], "left_semi")
+    return outer.unionByName(found(side(dealt.where("main"), "mt", "ot"), side(few, "ot", "mt"), "mt"))
 
 
 def _joined(rows: DataFrame, texts: DataFrame, threshold: float, kind: Kind) -> DataFrame:

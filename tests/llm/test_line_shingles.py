@@ -107,3 +107,33 @@ def test_sketches_rule_out_unlike_lines_and_never_similar_ones(spark):
     far = [k for k, a, b in rows if jaccard(a, b) < 0.6 and len(a) <= 300]
     assert len(near) > 100 and all(left[k] for k in near)
     assert len(far) > 20 and sum(left[k] for k in far) < 0.2 * len(far)
+
+
+def test_members_that_are_near_are_marked_without_a_list_of_pairs(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tarnwerk.llm import bucketlinks
+
+    made = []
+
+    def rows_out(plan):
+        kind = plan.getClass().getSimpleName()
+        kids = plan.children()
+        below = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else [kids.apply(i) for i in range(kids.size())]
+        own = plan.metrics().get("numOutputRows")
+        return max([own.get().value() if own.isDefined() else 0, *map(rows_out, below)])
+
+    def run(df):
+        got = df.collect()
+        made.append(rows_out(df._jdf.queryExecution().executedPlan()))
+        return spark.createDataFrame(got, df.schema)
+
+    monkeypatch.setattr(bucketlinks, "cut", run)
+    # bucket 1: all are near, in components of their own; 2: one outer and one inner member are near; 3: none are; 4: near within a component
+    near = [(1, k, k, k == 0, 0) for k in range(600)]
+    few = [(2, k, k if k > 8 else 1, k < 9, 7 if k in (3, 9) else 1 << k) for k in range(12)] + [(3, k, k, k == 0, 1 << k) for k in range(12)]
+    same = [(4, k, 5, False, 0) for k in range(4)] + [(4, 9, 6, True, 1)]
+    rows = spark.createDataFrame(near + few + same, "bk long, k long, c long, main boolean, s long")
+    got = sorted(map(tuple, run(bucketlinks._marked(rows, ["s"], lambda x, y: F.col("ot_s") == F.col("mt_s"))).collect()))
+    assert got == [(1, k) for k in range(600)] + [(2, 3), (2, 9)]
+    assert 600 <= max(made) <= 600 * 10
