@@ -5,8 +5,8 @@ Every member of a bucket is compared with its pivot, the member that meets most
 component by then need no further comparison; what is left of buckets that still hold several components is compared in
 tiles, the members outside the pivot's component with all. Two texts must agree in most of their signature's values
 (PLANES bits of each are kept) before their shingle sets are compared, and where a kind has sketches, the sketches must
-leave the similarity possible; they never rule out a similar pair. So all similar texts that share a bucket end up in
-one component.
+leave the similarity possible; they never rule out a similar pair. A pair left by that is compared in the first bucket
+that it shares. So all similar texts that share a bucket end up in one component.
 """
 
 from __future__ import annotations
@@ -103,6 +103,12 @@ def _tiled(rows: DataFrame, values: list[str], weight: Column, links) -> DataFra
     return met.select("bk", F.explode(links(F.col("o"), F.col("m"))).alias("e"))
 
 
+def _once(x, y) -> Column:
+    """Whether two members share no bucket before this one; ``before`` holds a member's buckets with lesser keys. A pair
+    that shares several buckets is compared in the first only."""
+    return ~F.arrays_overlap(x("before"), y("before"))
+
+
 def _apart(x: Column, y: Column) -> Column:
     """Pairs of members in different components, those outside the pivot's component once."""
     return (x["c"] != y["c"]) & (y["main"] | (x["k"] > y["k"]))
@@ -135,14 +141,14 @@ def _marked(rows: DataFrame, values: list[str], may) -> DataFrame:
 
 
 def _joined(rows: DataFrame, texts: DataFrame, threshold: float, kind: Kind) -> DataFrame:
-    """Pairs (k, p) of components that similar members (bk, k, c, main, s0..; z, x0.. where the kind has sketches) of one
-    bucket join."""
-    values = [*PLANE_NAMES, *(["z", *SKETCH_NAMES] if kind.sketch else [])]
+    """Pairs (k, p) of components that similar members (bk, k, c, main, before, s0..; z, x0.. where the kind has sketches)
+    of one bucket join."""
+    values = ["before", *PLANE_NAMES, *(["z", *SKETCH_NAMES] if kind.sketch else [])]
 
     def links(o, m):
         of = lambda a: F.transform(a, lambda x: F.struct(*[x[s].alias(s) for s in ("k", "c", "main", *values)], kind.of(x["line"]).alias("set")))
         may = lambda x, y: _possible(lambda s: x[s], lambda s: y[s], threshold) if kind.sketch else F.lit(True)
-        same = lambda x, y: _apart(x, y) & _near(lambda s: x[s], lambda s: y[s], kind) & may(x, y) & _similar(x["set"], y["set"], threshold)
+        same = lambda x, y: _apart(x, y) & _near(lambda s: x[s], lambda s: y[s], kind) & may(x, y) & _once(lambda s: x[s], lambda s: y[s]) & _similar(x["set"], y["set"], threshold)
         ends = lambda x, ms: F.array_distinct(F.transform(F.filter(ms, lambda y: same(x, y)), lambda y: F.struct(x["c"].alias("k"), y["c"].alias("p"))))
         return let(F.struct(of(o).alias("o"), of(m).alias("m")), lambda t: F.array_distinct(F.flatten(F.transform(t["o"], lambda x: ends(x, t["m"])))))
 
@@ -186,12 +192,16 @@ def linked(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold
     rows = cut(state.join(_marked(state, PLANE_NAMES, near), ["bk", "k"]))
     del state
     release(spark)
+    # both members of a near pair are marked in every bucket that they share, so the marks tell which is the first
+    own = cut(rows.groupBy("k").agg(F.collect_set("bk").alias("own")))  # at most a bucket a band
+    texts = cut(texts.join(own.select(F.col("k").alias("w")), F.col("k") == F.col("w"), "left_semi"))
+    about = join_hot(kind.sketch(texts), own, "k") if kind.sketch else own
+    rows = cut(join_hot(rows, about, "k").withColumn("before", F.filter("own", lambda b: b < F.col("bk"))).drop("own"))
+    del own, about
+    release(spark)
     if kind.sketch:
-        keys = rows.select(F.col("k").alias("w")).distinct()
-        held = cut(join_hot(rows, kind.sketch(texts.join(keys, F.col("k") == F.col("w"), "left_semi")), "k"))
-        tight = _marked(held, [*PLANE_NAMES, "z", *SKETCH_NAMES], lambda x, y: near(x, y) & _possible(x, y, threshold))
-        rows = cut(held.join(tight, ["bk", "k"]))
-        del held, keys, tight
+        may = lambda x, y: near(x, y) & _possible(x, y, threshold) & _once(x, y)
+        rows = cut(rows.join(_marked(rows, [*PLANE_NAMES, "before", "z", *SKETCH_NAMES], may), ["bk", "k"]))
         release(spark)
     found = cut(_joined(rows, texts, threshold, kind))
     return known.unionByName(found)

@@ -15,8 +15,6 @@ Banding decides which lines are compared; bucketlinks says how, without listing
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +32,6 @@ BANDS, BAND_ROWS = 9, 4
 SHORT, SHORT_BANDS, SHORT_ROWS = 48, 12, 3
 #: Shingles that are read in one row.
 BLOCK = 16
-#: The same for sketches, whose code a shingle is longer.
-SKETCH_BLOCK = 4
 
 
 def seeds(count: int) -> list[int]:
@@ -88,16 +84,15 @@ def signatures(docs: DataFrame, text: str, id_col: str) -> DataFrame:
 
 def sketches(texts: DataFrame) -> DataFrame:
     """(k, z, x0..) of lines (k, line), a row a line: z: its shingles, repeats included; x0..: the bits at which the hashes
-    of its shingles fall."""
+    of its shingles fall. A shingle is a row, for it sets a bit of one word only; a line has a row a word by then."""
     rows = texts.select("k", wide(F.col("line")).alias("w"))
     last = F.greatest(F.shiftright(F.octet_length("w"), 2) - SHINGLE, F.lit(0))
-    rows = rows.select("k", "w", last.alias("last"), F.explode(F.sequence(F.lit(0), last, F.lit(SKETCH_BLOCK))).alias("i"))
-    hashed = lambda j: F.xxhash64(shingle(F.col("w"), F.least(F.col("i") + j, F.col("last"))))
-    rows = rows.select("k", "last", *[hashed(j).alias(f"h{j}") for j in range(SKETCH_BLOCK)])
-    word = lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(SKETCH - 1).cast("long"))
-    rows = rows.select("k", "last", *[word(F.col(f"h{j}")).alias(f"w{j}") for j in range(SKETCH_BLOCK)], *[F.expr(f"shiftleft(1L, cast(h{j} & 63 as int))").alias(f"b{j}") for j in range(SKETCH_BLOCK)])
-    own = lambda w: reduce(Column.bitwiseOR, [F.when(F.col(f"w{j}") == w, F.col(f"b{j}")).otherwise(F.lit(0).cast("long")) for j in range(SKETCH_BLOCK)])
-    return rows.groupBy("k").agg((F.max("last") + 1).alias("z"), *[F.bit_or(own(w)).alias(x) for w, x in enumerate(SKETCH_NAMES)])
+    rows = rows.select("k", "w", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    rows = rows.select("k", "last", F.xxhash64(shingle(F.col("w"), F.col("i"))).alias("h"))
+    word = F.shiftright("h", 6).bitwiseAND(F.lit(SKETCH - 1).cast("long"))
+    words = rows.groupBy("k", "last", word.alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b"))
+    own = lambda w: F.when(F.col("at") == w, F.col("b")).otherwise(F.lit(0).cast("long"))
+    return words.groupBy("k").agg((F.max("last") + 1).alias("z"), *[F.bit_or(own(w)).alias(x) for w, x in enumerate(SKETCH_NAMES)])
 
 
 def line_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = 0.8) -> DataFrame:
