@@ -82,8 +82,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, kind: Kind)
     a = texts.select("k", F.col("line").alias("a"))
     b = texts.select(F.col("k").alias("p"), F.col("line").alias("b"))
     both = join_hot(join_hot(pairs, a, "k"), b, "p")
+    # made in a row of its own, the sets are made once, and they meet in generated code, which a lambda isn't
     two = F.struct(kind.of(F.col("a")).alias("a"), kind.of(F.col("b")).alias("b"))
-    return both.where(let(two, lambda x: _similar(x["a"], x["b"], threshold))).select("k", "p")
+    met = both.select("k", "p", F.explode(F.array(two)).alias("x"))
+    return met.where(F.size(F.array_intersect("x.a", "x.b")) >= F.lit(threshold) * F.size(F.array_union("x.a", "x.b"))).select("k", "p")
 
 
 def _tiled(rows: DataFrame, values: list[str], weight: Column, links) -> DataFrame:
@@ -160,9 +162,10 @@ def linked(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold
 
     signed: (k, bands, s0..), a row a text; ``fetch`` gives (k, line) for the keys k that it is given."""
     spark = signed.sparkSession
-    bands = signed.select("k", F.explode("bands").alias("bk"))
+    # one exchange serves the count and the join; a bucket's keys pass through one task here, but are never gathered
+    bands = signed.select("k", F.explode("bands").alias("bk")).repartition("bk")
     shared = bands.groupBy("bk").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(join_hot(bands, shared.hint("shuffle_hash"), "bk").select("bk", "k", "n"))
+    members = cut(bands.join(shared.hint("shuffle_hash"), "bk").select("bk", "k", "n"))
     del bands, shared
     release(spark)
 
